@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }
