@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import bpe, mixing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
