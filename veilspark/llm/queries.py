@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality
+from . import bpe, minhash, mixing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLES = {
