@@ -107,21 +107,20 @@ def _follow(point: DataFrame) -> DataFrame:
         point = written(point.join(on, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "point")
 
 
-def split_large(df: DataFrame, key: str, member: str, count: str, most: int) -> DataFrame:
-    """(`key`, `member`) with every pair of one group's members together in some group of about `most` or fewer.
+def split_large(df: DataFrame, key: str, member: str, count: str, most: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(`key`, `member`, side, `keep`) with every pair of one group's members together in a group of about `most` or fewer.
 
-    A group of more than `most` (by its column `count`) is cut into blocks of half of that by a hash of the member, and each
-    two blocks meet in a group of their own.
+    A group of more than `most` (by its column `count`) is cut into blocks of half of that by a hash of the member, and
+    every two blocks meet in a group of their own, and each with itself. Where two blocks meet, side is 0 or 1 by block:
+    pairs of one side are for the block's own group. Elsewhere side is -1.
     """
     n = F.ceil(F.col(count) * 2 / most).cast("long")
-    block = F.pmod(F.xxhash64(F.col(member), F.lit(7)), n)
+    block, k, o = F.pmod(F.xxhash64(F.col(member), F.lit(7)), n), F.col("_k"), F.col("_o")
     large = (
         df.where(F.col(count) > most)
         .withColumn("_k", block)
         .withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-        .withColumn(key, F.xxhash64(key, F.least("_k", "_o"), F.greatest("_k", "_o")))
+        .withColumn(key, F.xxhash64(key, F.least(k, o), F.greatest(k, o)))
+        .withColumn("side", F.when(k == o, -1).when(k < o, 0).otherwise(1))
     )
-    return df.where(F.col(count) <= most).select(key, member).unionByName(large.select(key, member))
-
-
-
+    return df.where(F.col(count) <= most).select(key, member, F.lit(-1).alias("side"), *keep).unionByName(large.select(key, member, "side", *keep))

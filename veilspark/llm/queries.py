@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality
+from . import bpe, minhash, mixing, polytope, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_polytope": polytope.op3_polytope,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": minhash.op10_minhash,
