@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, polytope, quality
+from . import bpe, language, minhash, mixing, polytope, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_polytope": polytope.op3_polytope,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_language": language.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": minhash.op10_minhash,
