@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, language, minhash, mixing, polytope, quality, toxicity
+from . import bpe, language, minhash, mixing, pii, polytope, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_polytope": polytope.op3_polytope,
+    "op4_pii": pii.op4_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,
