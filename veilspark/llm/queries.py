@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language, minhash, mixing, pii, polytope, quality, toxicity
+from . import bpe, chat, language, minhash, mixing, pii, polytope, quality, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_chat": chat.op2_chat,
     "op3_polytope": polytope.op3_polytope,
     "op4_pii": pii.op4_pii,
+    "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,
@@ -17,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_sharding": sharding.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
