@@ -182,9 +182,25 @@ def _map(docs: DataFrame, id_col: str, text_col: str, bpe: Bpe, schema: str, row
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, bpe: Bpe, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row's whole text."""
-    return _map(docs, id_col, text_col, bpe, "doc_id long, ids array<int>", lambda b, t: (np.frombuffer(b.encode(t), "<i4"),), [pa.list_(pa.int32())])
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_DIGEST_KINDS = [pa.int64(), pa.string(), pa.string()]
+
+
+def _digest(b: Bpe, text: str) -> tuple:
+    ids = b.encode(text)
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b.decode(ids)).hexdigest()
+
+
+def encode(docs: DataFrame, bpe: Bpe, *, id_col: str = "doc_id", text_col: str = "text", digests_too: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every row's whole text; with `digests_too`, also what `digests` gives."""
+    if not digests_too:
+        return _map(docs, id_col, text_col, bpe, "doc_id long, ids array<int>", lambda b, t: (np.frombuffer(b.encode(t), "<i4"),), [pa.list_(pa.int32())])
+
+    def row(b: Bpe, text: str) -> tuple:
+        ids = b.encode(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b.decode(ids)).hexdigest(), np.frombuffer(ids, "<i4")
+
+    return _map(docs, id_col, text_col, bpe, f"{_DIGESTS}, ids array<int>", row, [*_DIGEST_KINDS, pa.list_(pa.int32())])
 
 
 def digests(docs: DataFrame, bpe: Bpe, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,12 +209,7 @@ def digests(docs: DataFrame, bpe: Bpe, *, id_col: str = "doc_id", text_col: str
     Null text is empty: no tokens. Ids may be null or repeat. Empty tables give empty results. A text of any length is
     encoded whole; a single pre-token of n bytes takes O(n log n).
     """
-
-    def row(b: Bpe, text: str) -> tuple:
-        ids = b.encode(text)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b.decode(ids)).hexdigest()
-
-    return _map(docs, id_col, text_col, bpe, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row, [pa.int64(), pa.string(), pa.string()])
+    return _map(docs, id_col, text_col, bpe, _DIGESTS, _digest, _DIGEST_KINDS)
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

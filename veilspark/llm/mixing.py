@@ -114,6 +114,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     return ringed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(~F.col("src_null"), F.col("src")).alias("source"))
 
 
+def sampled(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **mix_args) -> DataFrame:
+    """`docs`, all columns, each row as many times as the mix takes it: taken / size rounded half up; rows without words go.
+
+    Only rows where a shard's run of blocks begins or ends are taken in part, two a shard at most. Rows with equal ids and
+    sizes share what they are taken.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **mix_args).where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg((F.sum("taken") / F.count(F.lit(1))).alias("__taken"))
+    copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (size == F.col("__size")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    out = docs.join(taken.where(copies > 0).withColumn("__copies", copies), same)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     from ..session import table
 

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from . import bpe, chat, language, minhash, mixing, pii, polytope, quality, sharding, toxicity
 
+def pipeline(spark, sf_dir: str):
+    """All stages of corpus_pipeline.py over `documents`."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_polytope": polytope.op3_polytope,
