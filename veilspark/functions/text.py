@@ -47,7 +47,7 @@ def removed_blanks(text: Column) -> Column:
         n = r["end"] - r["start"]
         return F.struct((acc["gone"] + n).alias("gone"), F.concat(acc["out"], F.array(F.struct((r["start"] - acc["gone"]).alias("at"), n.alias("len")))).alias("out"))
 
-    return F.aggregate(runs, empty, step, lambda a: a["out"])
+    return F.when(text.rlike(_GAP), F.aggregate(runs, empty, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<at:int,len:int>>"))
 
 
 def original_position(at: Column, blanks: Column) -> Column:

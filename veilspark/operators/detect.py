@@ -25,11 +25,18 @@ TIERS = {"structural": 3, "reference": 2, "pattern": 1, "statistical": 0}
 
 @dataclass(frozen=True)
 class Detector:
-    """`find` maps a text column to entities; register your own by putting it in the list given to `detect`."""
+    """`find` maps a text column to entities; register your own by putting it in the list given to `detect`.
+
+    One that is `compacting` is given a `Text`, with the text without blanks inside numbers.
+    """
 
     name: str
     tier: str
     find: Callable[[Column], Column]
+    compacting: bool = False
+
+    def of(self, text: Column, compact: Column, blanks: Column) -> Column:
+        return self.find(Text(text, compact, blanks) if self.compacting else text)
 
 
 def _entities(spans: Column, kind: str, confidence: Column | float, tier: str) -> Column:
@@ -37,13 +44,26 @@ def _entities(spans: Column, kind: str, confidence: Column | float, tier: str) -
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), c(s).alias("confidence"), F.lit(tier).alias("tier")))
 
 
-def _in_compact(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+class Text:
+    """A text and what several detectors need of it; `detect` computes the parts once, as columns."""
+
+    def __init__(self, raw: Column, compact: Column | None = None, blanks: Column | None = None):
+        self.raw = raw
+        self.compact = compact_digits(raw) if compact is None else compact
+        self.blanks = removed_blanks(raw) if blanks is None else blanks
+
+
+def _text(text: Column | Text) -> Text:
+    return text if isinstance(text, Text) else Text(text)
+
+
+def _in_compact(given: Column | Text, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """Matches in the text without blanks inside numbers that are valid, at their places in the text."""
-    compact = compact_digits(text)
+    t = _text(given)
+    text, compact, blanks = t.raw, t.compact, t.blanks
     found = F.filter(find_spans(compact, pattern), lambda s: valid(s["value"]))
 
     def back(s: Column) -> Column:
-        blanks = removed_blanks(text)
         lo, hi = original_position(s["start"], blanks), original_position(s["end"] - 1, blanks) + 1
         return F.struct(lo.alias("start"), hi.alias("end"), F.substring(text, lo + 1, hi - lo).alias("value"))
 
@@ -75,11 +95,11 @@ _PART = rf"(?:{_LINK}[ \t]+)?[A-ZÀ-Ÿ][0-9A-Za-z_À-ÿ'’\-]*"
 _PLACE = rf"(?<![0-9A-Za-z_])(?:CH|Centre|Clinique|EHPAD|ESAT|FAM|Foyer|H[ôo]pital|IME|ITEP|Lyc[ée]e|MAS|R[ée]sidence|SSIAD)[ \t]+{_PART}(?:[ \t]+{_PART})*"
 
 
-def nir(text: Column) -> Column:
+def nir(text: Column | Text) -> Column:
     return _entities(_in_compact(text, _NIR, lambda v: nir_valid(_bare(v, r"[ .\-]"))), "nir", 1.0, "structural")
 
 
-def iban(text: Column) -> Column:
+def iban(text: Column | Text) -> Column:
     return _entities(_in_compact(text, _IBAN, lambda v: iban_fr_valid(_bare(v, r"[ \-]"))), "iban", 1.0, "structural")
 
 
@@ -90,15 +110,16 @@ def rpps(text: Column) -> Column:
     return _entities(F.when(text.rlike(_RPPS), ok).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")), "rpps", 0.9, "structural")
 
 
-def finess(text: Column) -> Column:
+def finess(given: Column | Text) -> Column:
     """Nine digits that pass the check; surer with the word within 40 characters."""
+    text = _text(given).raw
 
     def sure(s: Column) -> Column:
         lo = F.greatest(s["start"] - 40, F.lit(0))
         near = F.lower(F.substring(text, lo + 1, s["end"] + 40 - lo))
         return F.when(F.contains(near, F.lit("finess")), 0.9).otherwise(0.5)
 
-    return _entities(_in_compact(text, _FINESS, luhn_valid), "finess", sure, "structural")
+    return _entities(_in_compact(given, _FINESS, luhn_valid), "finess", sure, "structural")
 
 
 def phone(text: Column) -> Column:
@@ -144,7 +165,7 @@ def names(text: Column, first_names: frozenset[str] = FIRST_NAMES) -> Column:
     def find(col: pa.Array) -> pa.Array:
         return pa.array([[{"start": a, "end": b, "value": t[a:b], "confidence": c} for a, b, c in find_names(t, first_names)] if t else [] for t in col.to_pylist()], kind)
 
-    return F.transform(find(text), lambda s: F.struct(F.lit("nom").alias("type"), s["start"], s["end"], s["value"], s["confidence"], F.lit("reference").alias("tier")))
+    return F.transform(find.asNondeterministic()(text), lambda s: F.struct(F.lit("nom").alias("type"), s["start"], s["end"], s["value"], s["confidence"], F.lit("reference").alias("tier")))
 
 
 def python_detector(name: str, tier: str, find: Callable[[str], list[tuple[str, int, int, float]]]) -> Detector:
@@ -155,7 +176,7 @@ def python_detector(name: str, tier: str, find: Callable[[str], list[tuple[str,
     def run(col: pa.Array) -> pa.Array:
         return pa.array([[{"type": k, "start": a, "end": b, "value": t[a:b], "confidence": c, "tier": tier} for k, a, b, c in sorted(find(t), key=lambda e: e[1])] if t else [] for t in col.to_pylist()], kind)
 
-    return Detector(name, tier, run)
+    return Detector(name, tier, run.asNondeterministic())
 
 
 def no_entities(text: Column) -> Column:
@@ -163,7 +184,7 @@ def no_entities(text: Column) -> Column:
     return F.array().cast(ENTITY)
 
 
-STRUCTURAL = (Detector("nir", "structural", nir), Detector("rpps", "structural", rpps), Detector("iban", "structural", iban), Detector("finess", "structural", finess))
+STRUCTURAL = (Detector("nir", "structural", nir, True), Detector("rpps", "structural", rpps), Detector("iban", "structural", iban, True), Detector("finess", "structural", finess, True))
 DEFAULT = (
     *STRUCTURAL,
     Detector("nom", "reference", names),
@@ -211,6 +232,10 @@ def entities_of(text: Column, detectors: tuple[Detector, ...] = DEFAULT) -> Colu
 
 def detect(docs: DataFrame, *, text_col: str = "text", out: str = "entities", detectors: tuple[Detector, ...] = DEFAULT) -> DataFrame:
     """`docs` with the array column `out`. Candidates are found in one projection and resolved in the next."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("__candidates", F.concat(*(d.find(text) for d in detectors)))
-    return found.withColumn(out, resolve_overlaps(F.col("__candidates"))).drop("__candidates")
+    text = F.col("__text")
+    found = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    if any(x.compacting for x in detectors):
+        found = found.withColumn("__compact", compact_digits(text)).withColumn("__blanks", removed_blanks(text))
+    found = found.withColumns({f"__{k}": x.of(text, F.col("__compact"), F.col("__blanks")) for k, x in enumerate(detectors)})
+    found = found.withColumn("__candidates", F.concat(*(F.col(f"__{k}") for k in range(len(detectors)))))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), resolve_overlaps(F.col("__candidates")).alias(out))
