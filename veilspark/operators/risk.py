@@ -186,7 +186,8 @@ def explain(cases: DataFrame, dims: Dimensions, threshold: int = STANDARD) -> Da
     out = out.withColumn("suggestion", F.when(enough, F.lit(None)).otherwise(winner))
     outcome = F.when(F.col("error").isNotNull(), F.lit(None)).when(enough, "succes").when(F.col("suggestion.f_after") >= threshold, "suggestion").otherwise("epuisement")
     out = out.withColumn("outcome", outcome).withColumn("threshold", F.lit(threshold))
-    out = out.withColumn("candidates", F.when(F.col("outcome") == "succes", F.slice("candidates", 1, 0)).otherwise(F.coalesce("candidates", F.slice("candidates", 1, 0))))
+    none = F.array().cast(per_case.schema["candidates"].dataType)
+    out = out.withColumn("candidates", F.when(F.col("outcome") == "succes", none).otherwise(F.coalesce("candidates", none)))
     return out.withColumn("final_band", F.coalesce("suggestion.band_after", "band")).withColumn("blocking", F.when(F.col("outcome") == "epuisement", F.transform("qis", lambda q: q["type"])).otherwise(F.array().cast("array<string>")))
 
 
