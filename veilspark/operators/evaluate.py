@@ -164,4 +164,4 @@ def corpus_statistics(gold: DataFrame) -> DataFrame:
 def third_party(predictions: DataFrame, mapping: dict[str, str], least: float = 0.35) -> DataFrame:
     """Another engine's (doc_id, type, start, end, score) with types renamed and low scores left out; unknown types stay."""
     names = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
-    return predictions.where(F.col("score") >= least).withColumn("type", F.coalesce(F.get(F.array(names[F.col("type")]), F.lit(0)), "type")).drop("score")
+    return predictions.where(F.col("score") >= least).withColumn("type", F.coalesce(F.try_element_at(names, F.col("type")), F.col("type"))).drop("score")

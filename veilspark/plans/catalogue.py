@@ -583,3 +583,75 @@ def stream_redact(spark, sf_dir):
     corpus(spark, sf_dir).select("doc_id", "text").write.parquet(f"{at}/in")
     redact_folder(spark, f"{at}/in", "doc_id bigint, text string", f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "masked")
+
+
+# --- building reference tables, labels and foreign predictions -----------------------------------------------------------
+
+
+@query("department_codes", "SELECT c_custkey AS k, case c_custkey % 4 when 0 then '57' when 1 then '2A' when 2 then '971' else '01' end AS dep FROM customer")
+def department_codes(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, "057 -Moselle").when(k % 4 == 1, "02A").when(k % 4 == 2, "971 - Guadeloupe").otherwise("001-Ain")
+    return table(spark, sf_dir, "customer").select(k.alias("k"), dimensions.department_code(raw).alias("dep"))
+
+
+@query("build_communes", "SELECT n_nationkey::VARCHAR AS code, n_name AS norm, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey * 100 END::BIGINT AS pmun FROM nation WHERE n_nationkey % 5 <> 0")
+def build_communes(spark, sf_dir):
+    """Communes proper with their population, null where there is none."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    raw = n.select(F.when(key % 5 == 0, "COMD").otherwise("COM").alias("TYPECOM"), key.cast("string").alias("COM"), F.initcap("n_name").alias("LIBELLE"), F.lit("57").alias("DEP"), F.lit("44").alias("REG"))
+    people = n.where(key % 3 != 0).select(key.cast("string").alias("COM"), (key * 100).alias("PMUN"))
+    return dimensions.build_communes(raw, people).select("code", "norm", "pmun")
+
+
+@query("build_first_names", "SELECT DISTINCT upper(split_part(n_name, ' ', 1)) AS norm FROM nation WHERE length(split_part(n_name, ' ', 1)) >= 3")
+def build_first_names(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.lower(F.element_at(F.split("n_name", " "), 1)).alias("prenom"))
+    return dimensions.build_first_names(names.unionByName(spark.createDataFrame([("ab",), ("",)], "prenom string")))
+
+
+@query("unknown_departments", f"WITH {_DIMS} SELECT DISTINCT dep FROM physicians WHERE dep NOT IN (SELECT dep FROM communes)")
+def unknown_departments(spark, sf_dir):
+    """Departments with physicians that no commune has; none."""
+    dims = _dim(spark)
+    return dimensions.unknown_departments(dims.physicians, dims.communes.select("dep"))
+
+
+@query("unique_commune_names", f"WITH {_DIMS} SELECT norm, min(code) AS code FROM communes GROUP BY norm HAVING count(*) = 1")
+def unique_commune_names(spark, sf_dir):
+    return _dim(spark).unique_names()
+
+
+@query(
+    "qi_labels",
+    f"""WITH {_CASE_SQL} SELECT case_id, 0 AS place, CASE job WHEN 'PROFESSIONNEL_DE_SANTE' THEN 'professionnel de santé' WHEN 'TOUTE_SPECIALITE' THEN 'médecin de toute spécialité' ELSE coalesce(s.label, job) END AS label
+    FROM place LEFT JOIN specialties s ON s.code = job
+    UNION ALL SELECT case_id, 1, CASE lvl WHEN 0 THEN coalesce(c.libelle, v) ELSE concat('département ', v) END FROM place LEFT JOIN communes c ON c.code = v""",
+)
+def qi_labels(spark, sf_dir):
+    rows = _cases(spark, sf_dir, "a").select("case_id", F.posexplode("qis").alias("place", "qi"))
+    return risk.labelled(rows, _dim(spark)).select("case_id", "place", "label")
+
+
+@query("third_party_filter", _EVAL_DUCK + " SELECT doc_id, CASE type WHEN 'nom' THEN 'person' ELSE type END AS type, s AS start_at, e AS end_at FROM pred WHERE (s % 10) / 10.0 >= 0.35")
+def third_party_filter(spark, sf_dir):
+    """Another engine's predictions: low scores go, known types are renamed, unknown ones stay."""
+    _, pred, _ = _eval(spark, sf_dir)
+    scored = pred.withColumn("score", (F.col("start") % 10) / F.lit(10.0))
+    return ev.third_party(scored, {"nom": "person"}).select("doc_id", "type", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query("ingest_base64", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'text' ELSE 'refused' END AS status, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS text FROM customer")
+def ingest_base64(spark, sf_dir):
+    k = F.col("c_custkey")
+    up = table(spark, sf_dir, "customer").select(k.alias("k"), F.lit("a.txt").alias("filename"), F.when(k % 2 == 0, F.base64(F.encode("c_name", "UTF-8"))).otherwise("%%%").alias("bytes"))
+    return documents.from_base64(up).select("k", F.col("ingested.status").alias("status"), F.col("ingested.text").alias("text"))
+
+
+@query("safe_sink_columns", "SELECT c_custkey AS doc_id, false AS has_secret FROM customer")
+def safe_sink_columns(spark, sf_dir):
+    """What may be written holds no mapping, text or value."""
+    out = ps.safe_columns(ps.redact(corpus(spark, sf_dir).select("doc_id", "text")))
+    secret = bool({"mapping", "text"} & set(out.columns)) or "value" in out.schema["entities"].dataType.elementType.names
+    return out.select("doc_id", F.lit(secret).alias("has_secret"))
