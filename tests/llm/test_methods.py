@@ -100,6 +100,7 @@ def test_words_and_windows_match_split():
     assert count.tolist() == list(map(len, want))
     assert [data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)] == [w for ws in want for w in ws]
     h = tb.hashes(data, starts, stops)
+    assert (h == tb.hashes(data, starts, stops, most=16)).all()
     flat = [w for ws in want for w in ws]
     assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(flat, h.tolist(), strict=True)))
 

@@ -72,8 +72,24 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, stops, row, np.bincount(row, minlength=len(off) - 1)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run, from prefix sums of byte * base ** position modulo 2 ** 64."""
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of each byte run, from prefix sums of byte * base ** position modulo 2 ** 64.
+
+    Starts and stops are sorted. Runs are taken in stretches of about `most` bytes, which bounds memory, not results.
+    """
+    if len(data) <= most:
+        return _hashes(data, starts, stops)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(stops, a + most, "right")))
+        out[i:j] = _hashes(data[a : stops[j - 1]], starts[i:j] - a, stops[i:j] - a)
+        i = j
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n or not len(starts):
         return np.zeros(len(starts), np.uint64)
