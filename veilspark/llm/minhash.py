@@ -27,7 +27,7 @@ from . import textbytes as tb
 from .graph import by_group, components, pairs_within, roots, split_large
 
 WIDTH = 5
-BRANCH, LEVELS, LEAF = 2, 6, 128
+BRANCH, LEVELS, LEAF = 2, 6, 256
 MINS = 64
 _MULTIPLY = np.random.default_rng(99).integers(1, 2**63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
