@@ -5,7 +5,7 @@
 2. In each of a few trees a node's documents go, at every level, to BRANCH children: those with the same minwise token
    under a function that the level selects. A pair at the threshold stays together in a child with its similarity as
    probability, so with two branches it is lost from a tree with a chance of 3 % at most at 0.85 (6 % at 0.8).
-   `trees_for` takes as many trees as leave 1e-4 of that. Only nodes of more than LEAF documents branch. Those that don't shrink, or are at the last level, are cut into blocks and
+   `trees_for` takes as many trees as leave 1e-4 of that. Only nodes of more than LEAF documents branch. Those that branching doesn't help, or at the last level, are cut into blocks and
    every two blocks are compared: nothing is dropped at any size.
 3. In each small node all pairs' similarities are estimated from the minwise tokens; documents without a partner near
    the threshold leave. Nodes left with the same members are the same work and count once.
@@ -238,19 +238,20 @@ def _links(few: DataFrame, rows: DataFrame, sketch: DataFrame, percent: int, lea
         kids = F.explode(F.array(*(F.xxhash64("node", F.lit(level), F.lit(b), pick(level, b)) for b in range(BRANCH))))
         return df.select("tree", "rep", "parent", kids.alias("node"))
 
-    nodes = children(sketch.select("rep", "mins", F.explode(F.array(*map(F.lit, range(trees_for(percent / 100))))).alias("tree")).withColumn("node", F.col("tree").cast("long")).withColumn("parent", F.lit(None).cast("long")), 0)
+    nodes = children(sketch.select("rep", "mins", F.explode(F.array(*map(F.lit, range(trees_for(percent / 100))))).alias("tree")).withColumn("node", F.col("tree").cast("long")).withColumn("parent", F.lit(None).cast("double")), 0)
     small: list[DataFrame] = []
     for level in range(1, levels + 1):
         nodes = written(nodes, "nodes")
         counts = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
         met = written(nodes.join(counts, "node"), "met")
-        stuck = (F.col("n") > leaf) & ((F.col("n") > 0.9 * F.col("parent")) if level < levels else F.lit(True))
+        # with two children of r times the size each, pairs to compare grow by 2 r ** 2: branch on while that is below 1
+        stuck = (F.col("n") > leaf) & ((2 * F.col("n") ** 2 >= F.col("parent") ** 2) if level < levels else F.lit(True))
         stuck = F.coalesce(stuck, F.lit(False))
         small.append(split_large(met.where((F.col("n") <= leaf) | stuck), "node", "rep", "n", leaf))
         large = met.where((F.col("n") > leaf) & ~stuck)
         if large.isEmpty():
             break
-        nodes = children(large.withColumn("parent", F.col("n")).join(sketch, "rep"), level)
+        nodes = children(large.withColumn("parent", F.col("n").cast("double")).join(sketch, "rep"), level)
     pieces = small[0]
     for s in small[1:]:
         pieces = pieces.unionByName(s)
