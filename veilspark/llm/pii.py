@@ -76,7 +76,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-# --- the model ---------------------------------------------------------------------------------------------------
+# == the model ==
 
 SYMBOLS, TAGS = 130, 1 + 2 * len(KINDS)
 _SYMBOL = np.full(0x110000, 129, np.uint8)
@@ -312,7 +312,7 @@ def all_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]]) -
     return out
 
 
-# --- training data -------------------------------------------------------------------------------------------------
+# == training data ==
 
 
 def respelt(kind: str, text: str, rng: np.random.Generator) -> str:
@@ -325,7 +325,7 @@ def respelt(kind: str, text: str, rng: np.random.Generator) -> str:
     digits = "".join(_DIGIT.findall(text))
     if kind == "card":
         sep = "." if pick else "/"
-        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return sep.join(re.findall(".{1,4}", digits))
     local = digits[-10:]
     return f"({local[:3]}) {local[3:6]}-{local[6:]}" if pick else f"00{digits[:-10] or '1'}-{local[:3]}-{local[3:6]}-{local[6:]}"
 
@@ -386,7 +386,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     return out
 
 
-# --- on documents ----------------------------------------------------------------------------------------------------
+# == on documents ==
 
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
