@@ -62,8 +62,8 @@ def zipped(**entries):
     return out.getvalue()
 
 
-DOCX = "<w:document><w:body><w:p><w:r><w:t>a</w:t><w:tab/><w:t xml:space='preserve'>b &amp; &#233;</w:t><w:br/><w:t/><w:t>c</w:t></w:r></w:p></w:body></w:document>"
-ODT = "<office:text><text:h>Titre</text:h><text:p>a<text:tab/>b<text:span>c</text:span></text:p><text:p/><text:list-item><text:p>Item</text:p></text:list-item></office:text>"
+DOCX = "<w:document><w:body><w:p w:id='1'><w:r n='2'><w:t n='3'>a</w:t ><w:tab/><w:t xml:space='preserve'>b &amp; &#233;</w:t><w:br/><w:t/><w:t a='b'>c</w:t></w:smartTag></w:r></w:p>"
+ODT = "<office:text><text:h>Titre</text:h><text:p n='1'>a<text:tab/>b<text:span>c</text:span></text:p><text:p/><text:list-item><text:p>Item</text:p></text:list-item></office:text>"
 
 
 def test_ingestion(spark):

@@ -75,17 +75,17 @@ def _bare(value: Column, separators: str) -> Column:
 
 
 _SEP = r"[ .\-]?"
-_NIR = rf"(?<![0-9])[1-8]{_SEP}[0-9]{{2}}{_SEP}[0-9]{{2}}{_SEP}(?:[0-9]{{2}}|2[ABab]){_SEP}[0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{2}}(?![0-9])"
-_IBAN = r"(?<![0-9A-Za-z])[Ff][Rr][0-9]{2}(?:[ \-]?[A-Za-z0-9]){23}(?![A-Za-z0-9])"
-_RPPS = r"(?<![0-9])[0-9](?: ?[0-9]){10}(?![0-9])"
-_FINESS = r"(?<![0-9])[0-9]{9}(?![0-9])"
-_PHONE = r"(?<![0-9])(?:\+33[ .\-]?[1-9]|0[1-9])(?:[ .\-]?[0-9]{2}){4}(?![0-9])"
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_NIR = rf"(?<!\d)[1-8](?:{_SEP}\d\d){{2}}{_SEP}(?:2[ABab]|\d\d)(?:{_SEP}\d\d\d){{2}}{_SEP}\d\d(?!\d)"
+_IBAN = r"(?<![\dA-Za-z])[Ff][Rr]\d\d(?:[- ]?[\dA-Za-z]){23}(?![\dA-Za-z])"
+_RPPS = r"(?<!\d)(?:\d ?){10}\d(?!\d)"
+_FINESS = r"(?<!\d)\d{9}(?!\d)"
+_PHONE = rf"(?<!\d)(?:\+33{_SEP}|0)[1-9](?:{_SEP}\d\d){{4}}(?!\d)"
+_EMAIL = r"[\dA-Za-z][\dA-Za-z%+._-]*@[\dA-Za-z.-]+[.][A-Za-z]{2,}"
 _DATE = r"(?:[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{4}|[0-9]{1,2}[ \t]+(?:janvier|f[ée]vrier|mars|avril|mai|juin|juillet|ao[ûu]t|septembre|octobre|novembre|d[ée]cembre)[ \t]+[0-9]{4})"
-_BORN = r"(?iu)(?:(?:ddn|date[ \t]+de[ \t]+naissance)[ \t]*:?|née?(?:\(e\))?[ \t]+le)[ \t]+"
+_BORN = r"(?iu)(?:(?:ddn|date[ \t]+de[ \t]+naissance)[ \t]*:?|née?(?:[(]e[)])?[ \t]+le)[ \t]+"
 _LETTER = r"A-ZÀ-ÖØ-Þa-zà-öø-ÿ"
 _TOWN_WORD = rf"[{_LETTER}][0-9_{_LETTER}'’-]*"
-_TOWN = rf"(?<![0-9])[0-9]{{5}}[ \t]+({_TOWN_WORD})(?:[ -]{_TOWN_WORD}){{0,3}}"
+_TOWN = rf"(?<!\d)\d{{5}}[ \t]+({_TOWN_WORD})(?:[ -]{_TOWN_WORD}){{0,3}}"
 _STREET = r"(?:all[ée]e|avenue|boulevard|chemin|cours|impasse|lotissement|passage|place|quai|route|rue|square)"
 _ADDRESS = rf"(?iu)[0-9]{{1,4}}[ \t]*,?[ \t]*{_STREET}[ \t]+[0-9{_LETTER}'’\- ]+?(?:,?[ \t]*|[ \t]*\r?\n[ \t]*){_TOWN}"
 _TOWN_ONLY = rf"(?iu){_TOWN}"

@@ -242,7 +242,7 @@ def generalised(dims: Dimensions) -> DataFrame:
     return c.select("code", F.posexplode(rungs).alias("level", "value"))
 
 
-# --- from text ---------------------------------------------------------------------------------------------------
+# == from text ==
 
 SPECIALTIES = {"anesthésiste": "05", "anesthésiste-réanimateur": "05", "cardiologue": "06", "chirurgien": "02", "dermatologue": "07", "gastro-entérologue": "08", "gastroentérologue": "08", "gynécologue": "09", "généraliste": "01", "médecin généraliste": "01", "ophtalmologiste": "03", "ophtalmologue": "03", "orl": "04", "oto-rhino-laryngologiste": "04", "pneumologue": "11", "psychiatre": "12", "pédiatre": "10", "radiologue": "13"}
 PROFESSIONS = {"chirurgien-dentiste": "chirurgien-dentiste", "dentiste": "chirurgien-dentiste", "pharmacien": "pharmacien", "pharmacienne": "pharmacien", "podologue": "pedicure-podologue", "pédicure-podologue": "pedicure-podologue", "sage-femme": "sage-femme"}

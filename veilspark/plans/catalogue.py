@@ -46,9 +46,9 @@ def spans(df: DataFrame, entities: str = "entities") -> DataFrame:
     return df.select("doc_id", F.explode(entities).alias("e")).select("doc_id", F.col("e.type").alias("type"), F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"), F.col("e.value").alias("value"), F.col("e.confidence").alias("confidence"))
 
 
-# --- spans on real texts ----------------------------------------------------------------------------------------------
+# == spans on real texts ==
 
-_EMAIL_SQL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_EMAIL_SQL = r"[\dA-Za-z][\dA-Za-z%+._-]*@[\dA-Za-z.-]+[.][A-Za-z]{2,}"
 
 
 @query(
@@ -88,7 +88,7 @@ _COMPACT = r"""regexp_replace(regexp_replace(text, '([0-9][A-Z]?)[ \t\x{00A0}\x{
 @query("finess_like", f"WITH c AS (SELECT doc_id, {_COMPACT} AS t FROM documents) SELECT doc_id, len(list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: length(x) = 9))::INTEGER AS n FROM c WHERE len(list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: length(x) = 9)) > 0")
 def finess_like(spark, sf_dir):
     compact = text.compact_digits(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(text.find_spans(compact, r"(?<![0-9])[0-9]{9}(?![0-9])")).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(text.find_spans(compact, d._FINESS)).alias("n"))
     return docs.where("n > 0")
 
 
@@ -97,7 +97,7 @@ def compact_digits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.compact_digits(F.col("text"))).alias("compact"))
 
 
-# --- check digits ------------------------------------------------------------------------------------------------------
+# == check digits ==
 
 
 def _luhn_sum(s: str, n: int) -> str:
@@ -124,7 +124,7 @@ def iban_mod97(spark, sf_dir):
     return ids.select("k", "iban", checks.iban_fr_valid(F.col("iban")).alias("valid"), checks.iban_fr_valid(broken).alias("wrong"))
 
 
-# --- detectors on the annotated corpus ---------------------------------------------------------------------------------
+# == detectors on the annotated corpus ==
 
 
 def _one_detector(detector: d.Detector) -> Callable:
@@ -199,7 +199,7 @@ def resolve_overlaps(spark, sf_dir):
     return spans(kept).select("doc_id", F.col("value").cast("int").alias("j"), "start_at", "end_at")
 
 
-# --- pseudonyms -------------------------------------------------------------------------------------------------------
+# == pseudonyms ==
 
 
 @query("redact_masked_text", f"WITH {sql.CORPUS} SELECT doc_id, concat(prefix, '[', upper(type), '_1]', suffix) AS masked FROM corpus")
@@ -264,7 +264,7 @@ def redact_reply_restore(spark, sf_dir):
     return ps.ask_model(corpus(spark, sf_dir).select("doc_id", "text"), ps.echo, instruction="Résume.").select("doc_id", "reply", "restored", "reply_error")
 
 
-# --- reference tables ----------------------------------------------------------------------------------------------------
+# == reference tables ==
 
 _DIMS = dimensions.sample_sql()
 _dim = dimensions.sample
@@ -331,7 +331,7 @@ def first_name_semi_join(spark, sf_dir):
     return dimensions.known_first_names(names, gazetteer).select("k")
 
 
-# --- risk ---------------------------------------------------------------------------------------------------------------
+# == risk ==
 
 
 def _cases(spark, sf_dir, kind: str) -> DataFrame:
@@ -430,7 +430,7 @@ def qi_extract_lieu(spark, sf_dir):
     return out.where("q.type = 'lieu'").select("doc_id", "q.value")
 
 
-# --- evaluation -----------------------------------------------------------------------------------------------------------
+# == evaluation ==
 
 _EVAL = """base AS (
   SELECT o_orderkey AS doc_id, o_orderkey % 6 AS m, cast(10 + o_orderkey % 20 as int) AS a, cast(16 + o_orderkey % 20 + o_custkey % 9 as int) AS b,
@@ -554,7 +554,7 @@ def score_corpus(spark, sf_dir):
     return ev.score(gold, pred).select("type", "n_gold", "n_pred", "strict_tp")
 
 
-# --- files and streams ----------------------------------------------------------------------------------------------------
+# == files and streams ==
 
 
 @query(
@@ -585,7 +585,7 @@ def stream_redact(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("doc_id", "masked")
 
 
-# --- building reference tables, labels and foreign predictions -----------------------------------------------------------
+# == building reference tables, labels and foreign predictions ==
 
 
 @query("department_codes", "SELECT c_custkey AS k, case c_custkey % 4 when 0 then '57' when 1 then '2A' when 2 then '971' else '01' end AS dep FROM customer")

@@ -110,7 +110,7 @@ def known_first_names(names: DataFrame, gazetteer: DataFrame, name_col: str = "n
     return names.withColumn("norm", normal_name(F.col(name_col))).join(gazetteer, "norm", "left_semi")
 
 
-# --- building the tables from raw publications ----------------------------------------------------------------------
+# == building the tables from raw publications ==
 
 
 def department_code(raw):
@@ -134,7 +134,7 @@ def unknown_departments(counts: DataFrame, departments: DataFrame) -> DataFrame:
     return counts.where("dep not in ('000', '999')").select("dep").distinct().join(departments, "dep", "left_anti")
 
 
-# --- a small invented set -----------------------------------------------------------------------------------------------
+# == a small invented set ==
 
 _TOWNS = "Aubeville Bellerive Champfleur Dorlanges Esperelle Fontclair Grandpré Hauterive Issanges Jolival".split()
 
