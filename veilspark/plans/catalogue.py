@@ -172,7 +172,7 @@ def finess_siren_collision(spark, sf_dir):
 _CANDIDATES = """cand AS (
   SELECT o_orderkey AS doc_id, j, cast((o_custkey * 7 + j * 11) % 40 as int) AS start_at, cast((o_custkey * 7 + j * 11) % 40 + 3 + (o_orderkey + j * 5) % 9 as int) AS end_at,
     cast(0.5 + ((o_orderkey + j) % 3) * 0.2 as double) AS confidence, case (o_orderkey + j) % 4 when 0 then 'structural' when 1 then 'reference' when 2 then 'pattern' else 'statistical' end AS tier
-  FROM {orders} CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS js WHERE o_orderkey % 7 = 0
+  FROM {orders} CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS js
 )"""
 
 
