@@ -1,10 +1,11 @@
 """Personal data by patterns with checks, and by a character-level bidirectional LSTM with CRF transitions in numpy.
 
 The patterns' spans always stay. The model learns from them, and from spellings that the patterns miss, made from the same
-spans; it reads the surroundings of digits and @ in overlapping windows. Windows' emissions are averaged where they
-overlap, and one Viterbi pass decodes each whole stretch. A span needs a digit or @, so text without them is all
-outside under that constraint and isn't shown to the model: nothing is lost. A decoded span is added if the
-model is sure of it, it passes its kind's check and it overlaps no pattern's span.
+spans; it reads the surroundings of digits and @, up to the ends of words, in overlapping windows. Windows' emissions are
+averaged where they overlap, and one Viterbi pass decodes each whole stretch; one whose spans reach its edge is widened
+and decoded again. The model's spans need a digit or @, so other text is all outside under that constraint and isn't
+shown to it. A decoded span is added if the model is sure of it, it passes its kind's check and it overlaps no pattern's
+span. Addresses spelt in words ("name at host dot org") have a rule of their own, and are added in the same way.
 """
 
 from __future__ import annotations
@@ -30,6 +31,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_BLANK = re.compile(r"\s")
+_LABEL, _DOTS = "[a-z0-9_-]++", ("dot", "point", "punto", "punkt")
+_DOT = rf"(?:\.|\s++(?:{'|'.join(_DOTS)})\s++|\s*+[\[({{<]\s*+(?:{'|'.join(_DOTS)})\s*+[\])}}>]\s*+)"
+#: The rest of an address spelt in words, from its at on. Between blanks, at is a word of English too.
+_SPELT = "|".join(
+    (
+        rf"(?<=\s)at\s++(?!(?:the|an?|this|that|each|every|one|any)\s){_LABEL}(?:\s++(?:dot|punkt)\s++{_LABEL})++",
+        rf"(?<=\s)(?:arobase|arroba|chiocciola)\s++{_LABEL}(?:{_DOT}{_LABEL})++",
+        rf"[\[({{<]\s*+(?:at|arobase|arroba|chiocciola)\s*+[\])}}>]\s*+{_LABEL}(?:{_DOT}{_LABEL})++",
+    )
+)
+_SPELT_TEXT, _SPELT_BYTES = re.compile(_SPELT, re.ASCII | re.IGNORECASE), re.compile(f"(?={_SPELT})".encode(), re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -72,6 +85,34 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def spelt_spans(text: str) -> list[Span]:
+    """Addresses whose at and dots are words or stand in brackets, with dots spelt in the local part too; linear in the text."""
+    out: list[Span] = []
+    end = 0
+
+    def back(at: int, local: bool) -> int:
+        while at > end and (not _NOT_LOCAL.match(text, at - 1) if local else text[at - 1].isspace()):
+            at -= 1
+        return at
+
+    for m in _SPELT_TEXT.finditer(text):
+        hi = back(m.start(), False)
+        lo = back(hi, True)
+        if lo == hi:
+            continue
+        while True:
+            dot = back(lo, False)
+            word = back(dot, True)
+            more = back(word, False)
+            before = back(more, True)
+            if dot == lo or before == more or more == word or text[word:dot].lower() not in _DOTS:
+                break
+            lo = before
+        out.append(("email", lo, m.end()))
+        end = m.end()
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
@@ -239,37 +280,48 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The surroundings of digits and @ in a text, merged where they meet."""
+def stretches(text: str, around: int = AROUND) -> list[tuple[int, int]]:
+    """The surroundings of digits and @ in a text to the ends of words, merged where they meet."""
     s = symbols(text)
     hits = np.flatnonzero((s == 48) | (s == 64))
     if not len(hits):
         return []
-    gaps = np.flatnonzero(np.diff(hits) > 2 * AROUND)
+    gaps = np.flatnonzero(np.diff(hits) > 2 * around)
     first, last = hits[np.concatenate([[0], gaps + 1])], hits[np.concatenate([gaps, [len(hits) - 1]])]
-    return [(max(0, int(a) - AROUND), min(len(text), int(b) + AROUND + 1)) for a, b in zip(first, last, strict=True)]
+    out: list[tuple[int, int]] = []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        stop = out[-1][1] if out else 0
+        lo = max(stop, a - around)
+        while lo > stop and not text[lo - 1].isspace():
+            lo -= 1
+        m = _BLANK.search(text, max(stop, b + around + 1))
+        hi = m.start() if m else len(text)
+        if out and lo <= stop:
+            out[-1] = out[-1][0], hi
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def model_spans(tagger: Tagger, texts: list[str], sure: float = 0.9) -> list[list[Span]]:
-    """Spans that the model is sure of in each text; windows are scored in batches, then averaged and decoded by stretch."""
+def _decoded(tagger: Tagger, jobs: list[tuple[str, int, int]]) -> list[list[tuple[int, int, int, float]]]:
+    """(first tag, start, end, least chance) of what is decoded in each stretch (text, lo, hi)."""
     places, windows = [], []
-    for k, text in enumerate(texts):
-        for lo, hi in stretches(text):
-            s = symbols(text[lo:hi])
-            at = list(range(0, max(1, len(s) - STRIDE), STRIDE))
-            places.append((k, lo, hi, len(windows), at))
-            for a in at:
-                w = np.full(WINDOW, 32, np.uint8)
-                piece = s[a : a + WINDOW]
-                w[: len(piece)] = piece
-                windows.append(w)
-    out: list[list[Span]] = [[] for _ in texts]
+    for text, lo, hi in jobs:
+        s = symbols(text[lo:hi])
+        at = list(range(0, max(1, len(s) - STRIDE), STRIDE))
+        places.append((lo, hi, len(windows), at))
+        for a in at:
+            w = np.full(WINDOW, 32, np.uint8)
+            piece = s[a : a + WINDOW]
+            w[: len(piece)] = piece
+            windows.append(w)
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in jobs]
     if not windows:
         return out
     stack = np.stack(windows)
     scores = np.concatenate([tagger.emissions(stack[lo : lo + 256]) for lo in range(0, len(stack), 256)])
     ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
-    for k, lo, hi, first, at in places:
+    for k, (lo, hi, first, at) in enumerate(places):
         total, weight = np.zeros((hi - lo + WINDOW, TAGS)), np.zeros((hi - lo + WINDOW, 1))
         for j, a in enumerate(at):
             total[a : a + WINDOW] += scores[first + j] * ramp
@@ -281,14 +333,35 @@ def model_spans(tagger: Tagger, texts: list[str], sure: float = 0.9) -> list[lis
                 end = t + 1
                 while end < len(path) and path[end] == path[t] + 1:
                     end += 1
-                if chance[t:end].min() >= sure:
-                    out[k].append((KINDS[path[t] // 2], lo + t, lo + end))
+                out[k].append((int(path[t]), lo + t, lo + end, float(chance[t:end].min())))
                 t = end
             else:
                 t += 1
     return out
 
 
+def model_spans(tagger: Tagger, texts: list[str], sure: float = 0.9) -> list[list[Span]]:
+    """Spans that the model is sure of in each text; windows are scored in batches, then averaged and decoded by stretch.
+
+    A text with a span at a stretch's edge is decoded again with twice the surroundings, until no span ends where reading does.
+    """
+    out: list[list[Span]] = [[] for _ in texts]
+    around, todo = AROUND, list(range(len(texts)))
+    while todo:
+        places = [(k, lo, hi) for k in todo for lo, hi in stretches(texts[k], around)]
+        cut: set[int] = set()
+        for k in todo:
+            out[k] = []
+        for (k, lo, hi), found in zip(places, _decoded(tagger, [(texts[k], lo, hi) for k, lo, hi in places]), strict=True):
+            for tag, a, b, chance in found:
+                if (a == lo and lo > 0) or (b == hi and hi < len(texts[k])):
+                    cut.add(k)
+                if chance >= sure:
+                    out[k].append((KINDS[tag // 2], a, b))
+        around, todo = 2 * around, sorted(cut)
+    return out
+
+
 def plausible(kind: str, text: str) -> bool:
     """A decoded span's check: a kind's own, with other separators allowed."""
     digits = "".join(_DIGIT.findall(text))
@@ -303,12 +376,13 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def all_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """The patterns' spans and the model's that overlap none of them."""
+    """The patterns' spans, and those spelt in words and the model's that overlap none of them."""
     found = model_spans(tagger, texts) if tagger else [[] for _ in texts]
     out = []
     for text, old, new in zip(texts, base, found, strict=True):
-        more = [s for s in new if plausible(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in old)]
-        out.append(old + more)
+        words = [s for s in spelt_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in old)]
+        more = [s for s in new if plausible(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in old + words)]
+        out.append(old + words + more)
     return out
 
 
@@ -393,9 +467,11 @@ _TRIGGER[[*range(48, 58), 64]] = True
 
 
 def _scan(batch: pa.RecordBatch, column: str, tagger: Tagger | None) -> Iterator[tuple[int, int, dict[int, tuple[str, list[Span], list[Span]]]]]:
-    """(first row, end row, {row: (text, base spans, all spans)} of rows with digits or @); others have no spans."""
+    """(first row, end row, {row: (text, base spans, all spans)} of rows with digits, @ or spelt addresses); others have no spans."""
     for lo, hi, data, off in tb.chunks(batch, column, 2_000_000):
-        hit = np.flatnonzero(tb.per_row(_TRIGGER[data], off))
+        marks = _TRIGGER[data]
+        marks[[m.start() for m in _SPELT_BYTES.finditer(data)]] = True
+        hit = np.flatnonzero(tb.per_row(marks, off))
         texts = [data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace") for i in hit]
         base = [base_spans(t) for t in texts]
         yield lo, hi, dict(zip(hit.tolist(), zip(texts, base, all_spans(tagger, texts, base), strict=True), strict=True))
