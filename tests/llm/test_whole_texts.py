@@ -1,9 +1,11 @@
 """The models read and learn from whole texts."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from veilspark.llm import pii
+from veilspark.llm import pii, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +40,11 @@ def test_stretches_end_where_words_do():
     lo, hi = pii.stretches(text)[0]
     assert lo == 0 and text[hi].isspace() and pii.stretches(text)[-1][1] == len(text)
     assert all(b < c for (_, b), (c, _) in zip(pii.stretches(text), pii.stretches(text)[1:]))
+
+
+@pytest.mark.parametrize("insult", ["stuupid", "s,t,u,p,i,d", "s:t:u:p:i:d", "s;t;u;p;i;d", "s'tupid", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s. t. u. p. i. d", "s - t - u - p - i - d"])
+def test_every_disguise_of_the_lattice_is_read(insult):
+    plain = Counter({w: 50 for w in "stupid idiot moron the and other worthless pathetic house small".split()})
+    scorer = toxicity.Scorer(toxicity.Restorer(plain), {"stupid$": 5.0}, -2.0)
+    assert scorer.score(f"the house, {insult}!") > 0.9
+    assert scorer.score("the small house and the other, too") < 0.5
