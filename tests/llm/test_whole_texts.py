@@ -48,3 +48,14 @@ def test_every_disguise_of_the_lattice_is_read(insult):
     scorer = toxicity.Scorer(toxicity.Restorer(plain), {"stupid$": 5.0}, -2.0)
     assert scorer.score(f"the house, {insult}!") > 0.9
     assert scorer.score("the small house and the other, too") < 0.5
+
+
+def test_training_reads_past_the_first_letters(spark):
+    long = "the house is small and the garden is green " * 600
+    docs = spark.createDataFrame([(k, long + (f"you {w} person" if k % 2 else "a kind person")) for k, w in enumerate(["stupid"] * 24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id long, toxic int")
+    assert len(long) > 20_000
+    scorer = toxicity.train(docs, labels)
+    assert "stupid$" in scorer.weights and scorer.score("you stupid person") > 0.5 > scorer.score("a kind person")
+    late = spark.createDataFrame([(k, "plain words " * 2000 + f"call +1 (555) 555-{1000 + k} or mail joe{k}@ex.org") for k in range(8)], "doc_id long, text string")
+    assert pii.train(late) is not None

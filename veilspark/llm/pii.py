@@ -443,16 +443,33 @@ def windows_of(texts: list[str], seed: int = 8) -> tuple[np.ndarray, np.ndarray]
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000, windows: int = 6000) -> Tagger | None:
-    """A tagger from about `sample_rows` rows by a hash of the id and `windows` windows of them at most, or None without spans."""
+    """A tagger from about `sample_rows` rows by a hash of the id and `windows` windows of them at most, or None without spans.
+
+    Sampled texts are cut to windows whole, in their tasks; windows are drawn from all of theirs by a hash.
+    """
     n = docs.count()
     if not n:
         return None
     rate = min(1.0, sample_rows / n)
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where((h < rate) & F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.substring(text_col, 1, 20_000).alias("t")).limit(2 * sample_rows).collect()
-    texts = [r["t"] for r in sorted(rows, key=lambda r: (r["h"], r["t"]))]
-    x, y = windows_of(texts)
-    x, y = x[:windows], y[:windows]
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(5))
+    part = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.where((part < rate) & F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.col(text_col).alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                key = batch.column(0)[i].as_py()
+                x, y = windows_of([batch.column(1)[i].as_py()], key % (1 << 32))
+                for lo in range(0, len(x), 4096):
+                    xs, ys = x[lo : lo + 4096], y[lo : lo + 4096].astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(xs), pa.int64()), pa.array(range(lo, lo + len(xs)), pa.int64()), pa.array([w.tobytes() for w in xs], pa.binary()), pa.array([w.tobytes() for w in ys], pa.binary())], names=["h", "k", "x", "y"])
+
+    every = rows.mapInArrow(cut, "h long, k long, x binary, y binary")
+    got = every.orderBy(F.xxhash64("h", "k"), "h", "k", "x", "y").limit(windows).collect()
+    if not got:
+        return None
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(-1, WINDOW)
+    y = np.frombuffer(b"".join(r["y"] for r in got), np.uint8).reshape(-1, WINDOW).astype(np.int64)
     if not y.any():
         return None
     out = Tagger()
