@@ -173,3 +173,11 @@ def test_polytope(spark):
     assert {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (None, 0, None, True)} <= got
     assert all((k, 0, k, True) in got for k in (6, 7, 8, 9, 10, 11, 12))
     assert polytope.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_minhash_refuses_what_it_cannot_promise(docs):
+    with pytest.raises(ValueError, match="percent"):
+        minhash.near_duplicates(docs, percent=20)
+    for percent in (30, 50, 60, 70, 75, 80, 85, 95, 100):
+        p = minhash.Plan(percent)
+        assert p.trees * p.levels * p.branch <= p.mins <= len(minhash._MULTIPLY)

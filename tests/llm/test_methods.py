@@ -51,7 +51,7 @@ def near_texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("percent", "leaf"), [(85, 128), (85, 8), (80, 6)])
+@pytest.mark.parametrize(("percent", "leaf"), [(85, 128), (85, 8), (80, 6), (65, 10), (50, 6)])
 def test_near_duplicates_match_all_pairs(spark, percent, leaf):
     texts = dict(enumerate(near_texts(3, 400), 100))
     sets = {k: shingle_set(t) for k, t in texts.items()}

@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, rows: int = 4096) -> DataFrame:
+def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, rows: int = 4096, most: int = 1 << 27) -> DataFrame:
     """Calls `work(table, bounds)` with rows sorted by the long column `key`, whole groups each: bounds are their edges.
 
-    A call gets about `rows` rows, or one group; callers keep groups small. Partitions are streamed, never held whole.
+    A call gets about `rows` rows or `most` bytes, or one group; callers keep groups small. Partitions are streamed, never
+    held whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
+        n = size = 0
+        for batch in (whole.slice(lo, rows) for whole in batches for lo in range(0, len(whole), rows)):
             held.append(batch)
             n += len(batch)
-            if n < rows:
+            size += batch.nbytes
+            if n < rows and size < most:
                 continue
             t = pa.Table.from_batches(held)
             k = t.column(key).to_numpy()
@@ -32,7 +34,7 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Ite
             if cut:
                 yield from work(t.slice(0, cut).combine_chunks(), edges(k[:cut]))
                 rest = t.slice(cut).combine_chunks()
-                held, n = rest.to_batches(), len(rest)
+                held, n, size = rest.to_batches(), len(rest), rest.nbytes
         if n:
             t = pa.Table.from_batches(held).combine_chunks()
             yield from work(t, edges(t.column(key).to_numpy()))

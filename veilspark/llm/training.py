@@ -22,6 +22,7 @@ def sample_by_class(rows: DataFrame, id_col: str, class_col: str, each: int) ->
         return []
     kind = dict(rows.dtypes)[class_col]
     rates = rows.sparkSession.createDataFrame([(r[0], min(1.0, (1.5 * each + 16) / r[1])) for r in counts], f"`{class_col}` {kind}, _rate double")
+    rates = F.broadcast(rates) if len(counts) <= 10_000 else rates  # so that texts aren't shuffled
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
     got = rows.withColumn("_h", h).join(rates, class_col).where((F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)) < F.col("_rate")).drop("_rate").collect()
     got.sort(key=lambda r: (r["_h"], str(r[id_col])))
