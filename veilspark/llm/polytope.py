@@ -3,8 +3,10 @@
 A hash rotates a vector pseudo-randomly (three times: random signs, then a fast Hadamard transform) and names the axis
 nearest to it, with its sign. A table's code joins as many hashes as leave few vectors in a bucket. A vector also probes
 the buckets it most nearly fell into. The number of tables follows from the chance, measured on simulated pairs at the
-threshold, that one table brings a pair together. Every candidate pair is verified by its cosine in double precision,
-and counted by the first bucket that has it, so that links are counted exactly and never listed.
+threshold, that one table brings a pair together. Signs of the rotated vectors make a sketch of some hundred bits; vectors
+without a partner in their bucket by sketches leave it, and only those left travel with their components. Every other
+candidate pair is verified by its cosine in double precision, and counted by the first bucket that has it, so that
+links are counted exactly and never listed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from . import textbytes as tb
 from .graph import by_group, components, pairs_within, roots, split_large
 
 LEAF, PROBES, MISS = 128, 3, 1e-4
+#: Bits of a sketch, if the rotations have as many.
+BITS = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,9 +46,17 @@ class Hasher:
         self.width = max(2, 1 << (dim - 1).bit_length())
         self.seed = seed
 
+    #: Sketches of vectors at the threshold differ in no more bits than this; None for all.
+    reach: int | None = None
+
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, tables) codes and (rows, tables, PROBES) probes, as 64-bit values that hold the table's number."""
+        return self.all(x)[:2]
+
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and probes, and (rows, bytes) sketches."""
         n = len(x)
+        signs: list[np.ndarray] = []
         rng = np.random.default_rng([self.seed, self.dim])
         padded = np.zeros((n, self.width))
         padded[:, : x.shape[1]] = x
@@ -56,6 +68,8 @@ class Hasher:
                 y = padded
                 for _ in range(3):
                     y = hadamard(y * rng.choice([-1.0, 1.0], self.width)) / np.sqrt(self.width)
+                if len(signs) * self.width < BITS:
+                    signs.append(y > 0)
                 size = np.abs(y)
                 for out, gap in ((best, None), (second, gap2), (third, gap3)):
                     at = size.argmax(1)
@@ -75,7 +89,16 @@ class Hasher:
                 k, which = pick % self.hashes, pick // self.hashes
                 near[np.arange(n), k] = np.where(which == 0, second[np.arange(n), k], third[np.arange(n), k])
                 probes[:, t, p] = self._join(near, t)
-        return codes, probes
+        bits = np.zeros((n, BITS), bool)
+        flat = np.concatenate(signs, axis=1)[:, :BITS]
+        bits[:, : flat.shape[1]] = flat
+        return codes, probes, np.packbits(bits, axis=1)
+
+    def set_reach(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Six deviations above the mean of simulated pairs at the threshold; in few dimensions bits depend too much on each other."""
+        if self.dim >= 16:
+            d = apart(self.all(x)[2], self.all(y)[2])
+            self.reach = int(np.ceil(d.mean() + 6 * d.std() + 2))
 
     def _join(self, values: np.ndarray, table: int) -> np.ndarray:
         out = np.full(len(values), table + 1, np.uint64)
@@ -102,14 +125,21 @@ def plan(dim: int, rows: int, cosine: float) -> Hasher:
     y = cosine * x + np.sqrt(1 - cosine**2) * z
     one = Hasher(dim, hashes, 1, seed=18)
     hit = meets(one.codes(x), one.codes(y)).mean()
-    return Hasher(dim, hashes, int(np.ceil(np.log(MISS) / np.log(1 - min(hit, 0.999)))))
+    out = Hasher(dim, hashes, int(np.ceil(np.log(MISS) / np.log(1 - min(hit, 0.999)))))
+    out.set_reach(x, y)
+    return out
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of sketches differ."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(1, dtype=np.int64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit rows of a column of number lists, shorter ones padded with zeros; scaled first, so that nothing overflows."""
     size = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy()
-    x = np.zeros((len(size), max(1, int(size.max(initial=0)))))
+    x = np.zeros((len(size), max(1, int(size.max(initial=0)))))  # in double precision
     x[np.arange(x.shape[1])[None, :] < size[:, None]] = flat
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -125,16 +155,37 @@ def _hash(hashers: dict[int, Hasher]):
                 for dim in np.unique(sizes):
                     at = pa.array(np.flatnonzero(sizes == dim))
                     part = batch.take(at)
-                    codes, probes = hashers[int(dim)].codes(_matrix(part.column(2)))
+                    codes, probes, bits = hashers[int(dim)].all(_matrix(part.column(2)))
                     label = tb.mix(part.column(1).to_numpy().astype(np.uint64) + np.uint64(77))
                     codes ^= label[:, None]
                     probes ^= label[:, None, None]
                     lists = [pa.array(list(v.reshape(len(part), -1).view(np.int64)), pa.list_(pa.int64())) for v in (codes, probes)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["rep", "codes", "probes"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([dim] * len(part), pa.int32())], names=["rep", "codes", "probes", "bits", "dim"])
 
     return run
 
 
+def _close(reach: dict[int, int | None]):
+    """The rows (key, rep, side, main, bucket) that have a partner in their group by sketches."""
+
+    def work(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rep, side, main, dim = (t.column(c).to_numpy() for c in ("rep", "side", "main", "dim"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1)
+        far = np.array([BITS if reach[int(d)] is None else reach[int(d)] for d in dim], np.int64)
+        i, j = pairs_within(bounds)
+        ok = (main[i] | main[j]) & (rep[i] != rep[j]) & ((side[i] < 0) | (side[i] != side[j])) & (dim[i] == dim[j])
+        i, j = i[ok], j[ok]
+        some = np.zeros(len(rep), bool)
+        for lo in range(0, len(i), 100_000):
+            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            near = apart(bits[a], bits[b]) <= far[a]
+            some[a[near]] = some[b[near]] = True
+        at = pa.array(np.flatnonzero(some))
+        yield from t.select(["key", "rep", "side", "main", "bucket"]).take(at).combine_chunks().to_batches()
+
+    return work
+
+
 def _verify(cosine: float, tables: int):
     """(v, n, low): how many vectors each is newly linked with in its group, and the smallest it is joined with."""
 
@@ -183,33 +234,42 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     table gives an empty result.
     """
     v = F.col("vector")
-    all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = dict(df.dtypes)[vector_col]
+    vector = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
+    all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vector.alias("vector"))
     good = v.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = written(all_rows.where(F.coalesce(good, F.lit(False))).distinct(), "vectors")
-    reps = written(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("key", F.xxhash64("label", "vector")), "reps")
-    sizes = {r[0]: r[1] for r in reps.groupBy(F.size("vector").alias("d")).count().collect()}  # one row for each length
+    whole = all_rows.where(F.coalesce(good, F.lit(False))).select("*", *(F.xxhash64(F.lit(k), "label", v).alias(f"h{k}") for k in range(2)))  # 128 bits tell vectors apart
+    rows = written(whole.select("vec_id", "label", "h0", "h1", F.size(v).alias("dim")).distinct(), "vectors")
+    reps = rows.groupBy("h0", "h1").agg(F.min("vec_id").alias("vec_id"), F.min("dim").alias("dim"), F.count(F.lit(1)).alias("mult")).withColumn("rep", F.monotonically_increasing_id())
+    reps = written(reps, "reps")
+    sizes = {r[0]: r[1] for r in reps.groupBy("dim").count().collect()}  # one row for each length
     if not sizes:
-        return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     hashers = {d: plan(d, n, cosine) for d, n in sizes.items()}
     tables = max(h.tables for h in hashers.values())
     for h in hashers.values():
         h.tables = tables
-    coded = written(reps.select(F.col("key").alias("rep"), "label", "vector").mapInArrow(_hash(hashers), "rep long, codes array<long>, probes array<long>"), "codes")
+    once = whole.join(reps.select("vec_id", "h0", "h1", "rep", "mult"), ["vec_id", "h0", "h1"]).select("rep", "label", "vector", "mult").dropDuplicates(["rep"])
+    once = written(once, "once")
+    coded = written(once.select("rep", "label", "vector").mapInArrow(_hash(hashers), "rep long, codes array<long>, probes array<long>, bits binary, dim int"), "codes")
     spots = coded.select("rep", F.explode("codes").alias("key"), F.lit(True).alias("main")).unionByName(coded.select("rep", F.explode(F.array_distinct("probes")).alias("key"), F.lit(False).alias("main")))
     counts = written(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("main").alias("any")).where("n > 1 and any").select("key", "n"), "counts")
     met = spots.join(counts, "key").withColumn("bucket", F.col("key"))
     pieces = split_large(met, "key", "rep", "n", leaf, ("main", "bucket"))
-    payload = coded.join(reps.select(F.col("key").alias("rep"), "vector", "mult"), "rep")
-    found = written(by_group(pieces.join(payload, "rep"), "key", _verify(cosine, tables), "v long, n long, low long", rows=2048), "found")
-    names = reps.select(F.col("key").alias("v"), "rep")
-    linked = found.groupBy("v").agg(F.sum("n").alias("n"))
-    per_rep = reps.join(linked.withColumnRenamed("v", "key"), "key", "left").select("label", "vector", "rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"))
-    far = found.where("v <> low").select("v", "low").distinct().join(names.withColumnRenamed("rep", "a"), "v").join(names.select(F.col("v").alias("low"), F.col("rep").alias("b")), "low").select("a", "b")
-    mine = written(rows.join(written(per_rep, "counted"), ["label", "vector"]).select("vec_id", "rep", "n"), "mine")
+    close = by_group(pieces.join(coded.select("rep", "bits", "dim"), "rep"), "key", _close({d: h.reach for d, h in hashers.items()}), "key long, rep long, side int, main boolean, bucket long", rows=2048)
+    close = written(close, "close")
+    payload = coded.select("rep", "codes", "probes").join(once.select("rep", "vector", "mult"), "rep").join(close.select("rep").distinct(), "rep")
+    found = written(by_group(close.join(payload, "rep"), "key", _verify(cosine, tables), "v long, n long, low long", rows=2048), "found")
+    names = reps.select(F.col("rep").alias("v"), "vec_id")
+    linked = found.groupBy(F.col("v").alias("rep")).agg(F.sum("n").alias("n"))
+    per_rep = reps.join(linked, "rep", "left").select("h0", "h1", F.col("vec_id").alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"))
+    far = found.where("v <> low").select("v", "low").distinct().join(names.withColumnRenamed("vec_id", "a"), "v").join(names.select(F.col("v").alias("low"), F.col("vec_id").alias("b")), "low").select("a", "b")
+    mine = written(rows.join(written(per_rep, "counted"), ["h0", "h1"]).select("vec_id", "rep", "n"), "mine")
     ends = components(far.unionByName(mine.select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))).where("a <> b"))
     links = mine.groupBy("vec_id").agg(F.sum("n").alias("n"))
     ends = written(links.join(ends.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left"), "components")
-    out = all_rows.select("vec_id").join(ends, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    out = ids.join(ends, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
 
 
