@@ -3,7 +3,8 @@
 The patterns' spans always stay. The model learns from them, and from spellings that the patterns miss, made from the same
 spans; it reads the surroundings of digits and @, up to the ends of words, in overlapping windows. Windows' emissions are
 averaged where they overlap, and one Viterbi pass decodes each whole stretch; one whose spans reach its edge is widened
-and decoded again. The model's spans need a digit or @, so other text is all outside under that constraint and isn't
+and decoded again. Stretches of more than PART characters are decoded in parts that overlap, a span by the part it begins
+in, so that memory is bounded whatever the text; stretches of about a length are decoded side by side. The model's spans need a digit or @, so other text is all outside under that constraint and isn't
 shown to it. A decoded span is added if the model is sure of it, it passes its kind's check and it overlaps no pattern's
 span. Addresses spelt in words ("name at host dot org") have a rule of their own, and are added in the same way.
 """
@@ -125,6 +126,7 @@ _SYMBOL[:128] = np.arange(128)
 _SYMBOL[48:58] = 48  # digits are one symbol
 _SYMBOL[0xC0:0x250] = 128  # other letters of Latin scripts
 WINDOW, STRIDE, AROUND = 64, 32, 20
+PART, HELD = 16_384, 1 << 18
 
 
 def symbols(text: str) -> np.ndarray:
@@ -256,23 +258,52 @@ class Tagger:
                 self.p[k] = self.p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return loss
 
-    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags of one stretch with scores (time, tags), by Viterbi, and their marginal probabilities."""
-        trans = self.p["T"] + _FORBID
+    def decode(self, e: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The best tags of stretches by Viterbi, and their marginal probabilities, both (time, stretches).
+
+        `e` has scores (time, stretches, tags) of stretches in order of falling `length`; what is past a length isn't read.
+        """
+        steps, n, _ = e.shape
+        length = np.full(n, steps) if length is None else length
+        trans, columns = self.p["T"] + _FORBID, np.arange(n)
+        active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")
         best = self.p["S"] + _START + e[0]
-        came = np.zeros((len(e), TAGS), np.int8)
-        for t in range(1, len(e)):
-            options = best[:, None] + trans
-            came[t] = options.argmax(0)
-            best = options.max(0) + e[t]
-        path = np.zeros(len(e), np.int64)
-        path[-1] = best.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            path[t - 1] = came[t, path[t]]
-        if not path.any():
-            return path, np.ones(len(e))
-        tags, _, _ = self.marginals(e[:, None, :])
-        return path, tags[np.arange(len(e)), 0, path]
+        came = np.zeros((steps, n, TAGS), np.int8)
+        for t in range(1, steps):
+            k = active[t]
+            options = best[:k, :, None] + trans
+            came[t, :k] = options.argmax(1)
+            best[:k] = options.max(1) + e[t, :k]
+        path = np.zeros((steps, n), np.int64)
+        path[length - 1, columns] = best.argmax(1)
+        for t in range(steps - 1, 0, -1):
+            k = active[t]
+            path[t - 1, :k] = came[t, columns[:k], path[t, :k]]
+        chance = np.ones((steps, n))
+        some = np.flatnonzero(path.any(0))
+        if len(some):
+            chance[:, some] = np.take_along_axis(self.chances(e[:, some], length[some]), path[:, some, None], 2)[:, :, 0]
+        return path, chance
+
+    def chances(self, e: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tag marginals (time, stretches, tags), by forward and backward products, scaled at every step."""
+        steps = len(e)
+        trans = np.exp(self.p["T"] + _FORBID)
+        active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")
+        seen = np.exp(e - e.max(2, keepdims=True))
+        a, b = np.zeros_like(e), np.ones_like(e)
+        a[0] = np.exp(self.p["S"] + _START) * seen[0]
+        a[0] /= a[0].sum(1, keepdims=True)
+        for t in range(1, steps):
+            k = active[t]
+            x = (a[t - 1, :k] @ trans) * seen[t, :k]
+            a[t, :k] = x / np.maximum(x.sum(1, keepdims=True), 1e-300)
+        for t in range(steps - 2, -1, -1):
+            k = active[t + 1]
+            x = (seen[t + 1, :k] * b[t + 1, :k]) @ trans.T
+            b[t, :k] = x / np.maximum(x.sum(1, keepdims=True), 1e-300)
+        both = a * b
+        return both / np.maximum(both.sum(2, keepdims=True), 1e-300)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -303,61 +334,71 @@ def stretches(text: str, around: int = AROUND) -> list[tuple[int, int]]:
     return out
 
 
+def parts(lo: int, hi: int, around: int = AROUND) -> list[tuple[int, int, int, int]]:
+    """A stretch as (first, end, core's first, core's end) of parts whose cores are all of it, with 100 * `around` more on either side."""
+    if hi - lo <= PART:
+        return [(lo, hi, lo, hi)]
+    return [(max(lo, c - 100 * around), min(hi, c + PART + 100 * around), c, min(hi, c + PART)) for c in range(lo, hi, PART)]
+
+
 def _decoded(tagger: Tagger, jobs: list[tuple[str, int, int]]) -> list[list[tuple[int, int, int, float]]]:
-    """(first tag, start, end, least chance) of what is decoded in each stretch (text, lo, hi)."""
-    places, windows = [], []
-    for text, lo, hi in jobs:
-        s = symbols(text[lo:hi])
-        at = list(range(0, max(1, len(s) - STRIDE), STRIDE))
-        places.append((lo, hi, len(windows), at))
-        for a in at:
-            w = np.full(WINDOW, 32, np.uint8)
-            piece = s[a : a + WINDOW]
-            w[: len(piece)] = piece
-            windows.append(w)
+    """(first tag, start, end, least chance) of what is decoded in each part (text, lo, hi), about HELD characters at a time."""
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in jobs]
-    if not windows:
-        return out
-    stack = np.stack(windows)
-    scores = np.concatenate([tagger.emissions(stack[lo : lo + 256]) for lo in range(0, len(stack), 256)])
-    ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
-    for k, (lo, hi, first, at) in enumerate(places):
-        total, weight = np.zeros((hi - lo + WINDOW, TAGS)), np.zeros((hi - lo + WINDOW, 1))
-        for j, a in enumerate(at):
-            total[a : a + WINDOW] += scores[first + j] * ramp
-            weight[a : a + WINDOW] += ramp
-        path, chance = tagger.decode((total / np.maximum(weight, 1e-9))[: hi - lo])
-        t = 0
-        while t < len(path):
-            if path[t] % 2:
-                end = t + 1
-                while end < len(path) and path[end] == path[t] + 1:
+    order = sorted(range(len(jobs)), key=lambda k: jobs[k][1] - jobs[k][2])
+    while order:
+        longest = jobs[order[0]][2] - jobs[order[0]][1]
+        now, order = order[: max(1, HELD // max(longest, WINDOW))], order[max(1, HELD // max(longest, WINDOW)) :]
+        length = np.array([jobs[k][2] - jobs[k][1] for k in now])
+        at = [np.arange(0, max(1, n - STRIDE), STRIDE) for n in length]
+        grid = np.full((len(now), longest + WINDOW), 32, np.uint8)
+        for i, k in enumerate(now):
+            text, lo, hi = jobs[k]
+            grid[i, : hi - lo] = symbols(text[lo:hi])
+        row, first = np.repeat(np.arange(len(now)), [len(a) for a in at]), np.concatenate(at)
+        ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
+        total, weight = np.zeros((longest + WINDOW, len(now), TAGS)), np.zeros((longest + WINDOW, len(now), 1))
+        for x in range(0, len(row), 512):
+            i, a = row[x : x + 512], first[x : x + 512]
+            places = a[:, None] + np.arange(WINDOW)
+            scores = tagger.emissions(grid[i[:, None], places])
+            np.add.at(total, (places, i[:, None]), scores * ramp)
+            np.add.at(weight, (places, i[:, None]), np.broadcast_to(ramp, (len(i), WINDOW, 1)))
+        path, chance = tagger.decode((total / np.maximum(weight, 1e-9))[:longest], length)
+        path[np.arange(longest)[:, None] >= length] = 0
+        for i in np.flatnonzero(path.any(0)):
+            text, lo, hi = jobs[now[i]]
+            tags = path[: hi - lo, i]
+            for t in np.flatnonzero(tags % 2):
+                end = int(t) + 1
+                while end < len(tags) and tags[end] == tags[t] + 1:
                     end += 1
-                out[k].append((int(path[t]), lo + t, lo + end, float(chance[t:end].min())))
-                t = end
-            else:
-                t += 1
+                out[now[i]].append((int(tags[t]), lo + int(t), lo + end, float(chance[t:end, i].min())))
     return out
 
 
 def model_spans(tagger: Tagger, texts: list[str], sure: float = 0.9) -> list[list[Span]]:
-    """Spans that the model is sure of in each text; windows are scored in batches, then averaged and decoded by stretch.
+    """Spans that the model is sure of in each text.
 
-    A text with a span at a stretch's edge is decoded again with twice the surroundings, until no span ends where reading does.
+    A text with a span at an edge of what was read is decoded again with twice the surroundings, until no span ends where
+    reading does.
     """
     out: list[list[Span]] = [[] for _ in texts]
     around, todo = AROUND, list(range(len(texts)))
     while todo:
-        places = [(k, lo, hi) for k in todo for lo, hi in stretches(texts[k], around)]
+        places = [(k, *p) for k in todo for lo, hi in stretches(texts[k], around) for p in parts(lo, hi, around)]
         cut: set[int] = set()
         for k in todo:
             out[k] = []
-        for (k, lo, hi), found in zip(places, _decoded(tagger, [(texts[k], lo, hi) for k, lo, hi in places]), strict=True):
-            for tag, a, b, chance in found:
-                if (a == lo and lo > 0) or (b == hi and hi < len(texts[k])):
-                    cut.add(k)
-                if chance >= sure:
-                    out[k].append((KINDS[tag // 2], a, b))
+        for x in range(0, len(places), 50_000):
+            some = places[x : x + 50_000]
+            for (k, lo, hi, core, stop), found in zip(some, _decoded(tagger, [(texts[k], lo, hi) for k, lo, hi, _, _ in some]), strict=True):
+                for tag, a, b, chance in found:
+                    if not core <= a < stop:
+                        continue
+                    if (a == lo and lo > 0) or (b == hi and hi < len(texts[k])):
+                        cut.add(k)
+                    if chance >= sure:
+                        out[k].append((KINDS[tag // 2], a, b))
         around, todo = 2 * around, sorted(cut)
     return out
 
@@ -389,19 +430,22 @@ def all_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]]) -
 # == training data ==
 
 
-def respelt(kind: str, text: str, rng: np.random.Generator) -> str:
-    """A spelling of a span that its pattern misses."""
-    pick = int(rng.integers(0, 2))
+def respelt(kind: str, text: str, rng: np.random.Generator, signs: str = "./_-") -> str:
+    """A spelling of a span that its pattern misses: other separators, of `signs`, or blanks where there were none."""
+    sign, blank = signs[int(rng.integers(len(signs)))], " " * int(rng.integers(0, 2))
+    pick = int(rng.integers(0, 3))
     if kind == "email":
-        return text.replace("@", " @ ") if pick else text.replace("@", "@ ", 1)
+        name, _, host = text.rpartition("@")
+        return (f"{name} @ {host}", f"{name}@ {host}", f"{name} @{host}")[pick]
     if kind == "ip":
-        return text.replace(".", " . ") if pick else text.replace(".", "-")
+        return (" . " if sign == "." else f"{blank}{sign}{blank}").join(text.split("."))
     digits = "".join(_DIGIT.findall(text))
     if kind == "card":
-        sep = "." if pick else "/"
-        return sep.join(re.findall(".{1,4}", digits))
-    local = digits[-10:]
-    return f"({local[:3]}) {local[3:6]}-{local[6:]}" if pick else f"00{digits[:-10] or '1'}-{local[:3]}-{local[3:6]}-{local[6:]}"
+        join = f"{blank}{'.' if sign == '-' and not blank else sign}{blank}"
+        return join.join(re.findall(".{1,4}", digits) if pick else [digits[:4], digits[4:10], digits[10:]])
+    local, land = digits[-10:], digits[:-10] or "1"
+    a, b, c = local[:3], local[3:6], local[6:]
+    return (f"({a}){blank}{b}{sign}{c}", f"00{land}{sign}{a}{sign}{b}{sign}{c}", f"{a}{sign}{b}{sign}{c}")[pick]
 
 
 def windows_of(texts: list[str], seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
