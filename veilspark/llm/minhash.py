@@ -30,7 +30,7 @@ from . import textbytes as tb
 from .graph import by_group, components, pairs_within, roots, split_large
 
 WIDTH = 5
-LEVELS, LEAF = 6, 256
+LEVELS, LEAF, WIDE = 6, 256, 4
 MINS = 64
 #: Shingles of full sets that a task holds at once, if no two documents have more.
 HELD = 6_000_000
@@ -120,18 +120,18 @@ def _sketch(size: int):
     return run
 
 
-def _near(least: int, size: int):
-    """Step 3: (gkey, rep) of documents that have a partner in the node by at least `least` of `size` equal minwise tokens."""
+def _near(least: int, count: int):
+    """Step 3: (gkey, rep, size) of documents that have a partner in the node by at least `least` of `count` equal minwise tokens."""
 
     def work(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         rep = t.column("rep").to_numpy()
-        mins = t.column("mins").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        mins = t.column("mins").combine_chunks().flatten().to_numpy().reshape(-1, count)
         i, j = pairs_within(bounds)
         alive = np.zeros(len(rep), bool)
         for lo in range(0, len(i), 200_000):
             a, b = i[lo : lo + 200_000], j[lo : lo + 200_000]
             same = np.zeros(len(a), np.int16)
-            for k in range(size):
+            for k in range(count):
                 col = mins[:, k]
                 same += col[a] == col[b]
             ok = (same >= least) & (rep[a] != rep[b])
@@ -143,7 +143,8 @@ def _near(least: int, size: int):
         rep = rep[alive]
         key = np.zeros(len(bounds) - 1, np.uint64)
         np.add.at(key, group, tb.mix(rep.astype(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[group]), pa.array(rep)], names=["gkey", "rep"])
+        size = t.column("size").to_numpy()[alive]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[group]), pa.array(rep), pa.array(size)], names=["gkey", "rep", "size"])
 
     return work
 
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = full.groupBy("f0", "f1").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")).withColumn("rep", F.monotonically_increasing_id())
     reps = written(reps, "reps")
     first = full.select("doc_id", "f0", "f1", "mins").join(reps, ["doc_id", "f0", "f1"])
-    sketch = written(first.select("rep", "mins").dropDuplicates(["rep"]), "sets")
+    sketch = written(first.select("rep", "mins", "size").dropDuplicates(["rep"]), "sets")
     found = _links(few, reps, sketch, plan, leaf)
     same = full.join(reps.select("f0", "f1", F.col("doc_id").alias("b")), ["f0", "f1"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     names = reps.select("rep", "doc_id")
@@ -282,7 +283,7 @@ def _links(few: DataFrame, reps: DataFrame, sketch: DataFrame, plan: Plan, leaf:
         nodes = children(large.where(~idle).withColumn("parent", F.col("n").cast("double")).join(sketch, "rep"), level)
     if not stuck:
         return _verified(few, reps, sketch, _union(small), plan)
-    hard = written(_union(stuck), "stuck")
+    hard, leaf = written(_union(stuck), "stuck"), WIDE * leaf  # sketches are small, and fewer blocks are fewer pairs of them
     first = _verified(few, reps, sketch, _union([*small, _with_pivots(hard, leaf)]), plan)
     rest = _apart(hard, first, leaf)
     return first if rest is None else first.unionByName(_verified(few, reps, sketch, rest, plan))
@@ -329,14 +330,13 @@ def _apart(hard: DataFrame, links: DataFrame, leaf: int) -> DataFrame | None:
 
 def _verified(few: DataFrame, reps: DataFrame, sketch: DataFrame, pieces: DataFrame, plan: Plan) -> DataFrame:
     """Steps 3 and 4 on groups (node, rep) of bounded size."""
-    near = by_group(pieces.join(sketch, "rep").select("node", "rep", "mins"), "node", _near(plan.least, plan.mins), "gkey long, rep long").distinct()
+    near = by_group(pieces.join(sketch, "rep").select("node", "rep", "mins", "size"), "node", _near(plan.least, plan.mins), "gkey long, rep long, size long").distinct()
     near = written(near, "near")
     alive = written(near.select("rep").distinct().join(reps, "rep"), "alive")
     asked = few.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"), "text")
     sets = asked.mapInArrow(_sets(_bitmap(alive.select("doc_id"))), "f0 long, f1 long, tokens binary")
     sets = sets.join(alive.select("f0", "f1", "rep"), ["f0", "f1"]).select("rep", "tokens").dropDuplicates(["rep"])
-    sized = near.join(alive.select("rep", "size"), "rep")
-    sized = sized.join(sized.groupBy("gkey").agg(F.sum("size").alias("held")), "gkey")
+    sized = near.join(near.groupBy("gkey").agg(F.sum("size").alias("held")), "gkey")
     groups = split_large(sized, "gkey", "rep", "held", HELD)  # long texts in smaller groups
     return written(by_group(groups.join(sets, "rep").select("gkey", "rep", "tokens"), "gkey", _linked(plan.percent), "a long, b long", rows=256, most=8 * HELD).distinct(), "linked")
 
