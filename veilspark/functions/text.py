@@ -8,26 +8,50 @@ from pyspark.sql import functions as F
 #: White space as in ECMAScript; Java's class lacks the no-break ones.
 WS = r"[\s   -     　﻿]"
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,`end`:int,value:string>>"
 
 
-def find_spans(text: Column, pattern: str, gate: str | None = None) -> Column:
-    """All matches of a pattern as array<struct<start, end, value>>; positions count code points from 0, end exclusive.
+_BLOCK = 256
+
+
+def _of(value: Column, sql: str) -> Column:
+    """An SQL expression of `t`, with `value` as `t`: one call however long the expression is."""
+    return F.call_function("transform", F.array(value), F.expr(f"t -> {sql}"))[0]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _fold(part: str) -> str:
+    return f"aggregate({part}, named_struct('at', 0, 'out', cast(array() as array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'out', concat(acc.out, array(acc.at))))"
+
 
-    A text without a match is only searched. Otherwise the pieces between matches and the matches give the positions, in
-    one pass. Matches must not be empty. Null text gives an empty array.
+def _sums_before(sizes: str) -> str:
+    """SQL: for each of an array of whole numbers, the sum of those before it.
+
+    A fold that appends copies what it has at every step, so only blocks of fixed size are folded, and then the blocks' totals.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    blocks = f"transform(sequence(1, size(s), {_BLOCK}), k -> {_fold(f'slice(s, k, {_BLOCK})')})"
+    joined = f"flatten(zip_with(b, {_fold('transform(b, x -> x.at)')}.out, (x, o) -> transform(x.out, v -> v + o)))"
+    return f"transform(array({sizes}), s -> CASE WHEN size(s) <= {_BLOCK} THEN {_fold('s')}.out ELSE transform(array({blocks}), b -> {joined})[0] END)[0]"
 
-    def step(acc: Column, m: Column) -> Column:
-        lo = acc["at"] + m["gap"]
-        hi = lo + F.length(m["value"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), m["value"].alias("value")))).alias("out"))
 
-    return F.when(text.rlike(gate or pattern), F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+def _find(t: str, pattern: str, gate: str) -> str:
+    p = _quoted(pattern)
+    steps = f"transform(array(regexp_extract_all({t}, {p}, 0)), m -> zip_with(slice(transform(split({t}, {p}, -1), g -> length(g)), 1, size(m)), m, (g, w) -> named_struct('gap', g, 'value', w)))[0]"
+    sums = _sums_before("transform(st, q -> q.gap + length(q.value))")
+    found = f"transform(array({steps}), st -> zip_with(st, {sums}, (q, z) -> named_struct('start', z + q.gap, 'end', z + q.gap + length(q.value), 'value', q.value)))[0]"
+    return f"CASE WHEN {t} RLIKE {_quoted(gate)} THEN {found} ELSE cast(array() as {SPAN}) END"
+
+
+def find_spans(text: Column, pattern: str, gate: str | None = None) -> Column:
+    """All matches of a pattern as array<struct<start, end, value>>; positions count code points from 0, end exclusive.
+
+    A text without a match is only searched. Otherwise the pieces between matches and the matches give the positions; time
+    grows in proportion to the text. Matches must not be empty. Null text gives an empty array.
+    """
+    return _of(text, _find("t", pattern, gate or pattern))
 
 
 _GAP = r"(?:(?<=[0-9])|(?<=[0-9][A-Z]))[ \t  ]+(?=[0-9]|[A-Z][0-9])"
@@ -38,21 +62,21 @@ def compact_digits(text: Column) -> Column:
     return F.regexp_replace(text, _GAP, "")
 
 
-def removed_blanks(text: Column) -> Column:
-    """array<struct<at, len>> of what `compact_digits` takes out: where in the compact text, and how much."""
-    runs = find_spans(text, _GAP)
-    empty = F.struct(F.lit(0).alias("gone"), F.array().cast("array<struct<at:int,len:int>>").alias("out"))
+BLANKS = "array<array<struct<at:int,gone:int>>>"
 
-    def step(acc: Column, r: Column) -> Column:
-        n = r["end"] - r["start"]
-        return F.struct((acc["gone"] + n).alias("gone"), F.concat(acc["out"], F.array(F.struct((r["start"] - acc["gone"]).alias("at"), n.alias("len")))).alias("out"))
 
-    return F.when(text.rlike(_GAP), F.aggregate(runs, empty, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<at:int,len:int>>"))
+def removed_blanks(text: Column) -> Column:
+    """What `compact_digits` takes out, in blocks: where in the compact text, and how much up to there."""
+    sums = _sums_before("transform(rs, r -> r.end - r.start)")
+    runs = f"transform(array({_find('t', _GAP, _GAP)}), rs -> zip_with(rs, {sums}, (r, z) -> named_struct('at', r.start - z, 'gone', z + r.end - r.start)))[0]"
+    blocks = f"transform(array({runs}), rs -> transform(sequence(1, size(rs), {_BLOCK}), k -> slice(rs, k, {_BLOCK})))[0]"
+    return _of(text, f"CASE WHEN t RLIKE {_quoted(_GAP)} THEN {blocks} ELSE cast(array() as {BLANKS}) END")
 
 
 def original_position(at: Column, blanks: Column) -> Column:
-    """Where in the text the character at `at` of the compact text stands."""
-    return at + F.aggregate(F.filter(blanks, lambda b: b["at"] <= at), F.lit(0), lambda n, b: n + b["len"])
+    """Where in the text the character at `at` of the compact text stands; looks at blocks, then into one."""
+    block = "try_element_at(filter(t.blanks, b -> b[0].at <= t.at), -1)"
+    return _of(F.struct(at.alias("at"), blanks.alias("blanks")), f"t.at + coalesce(try_element_at(filter({block}, c -> c.at <= t.at), -1).gone, 0)")
 
 
 _ACCENTS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ", "AAAAAACEEEEIIIINOOOOOUUUUYY")

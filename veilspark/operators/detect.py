@@ -1,12 +1,14 @@
 """Span detectors and overlap resolution.
 
 A detector is a column expression from a text column to array<struct<type, start, end, value, confidence, tier>>, sorted and
-without overlaps. Positions count code points. All are expressions of the JVM except names, which is an Arrow function.
-`detect` runs a list of them in one stage, without a shuffle.
+without overlaps. Positions count code points. All are expressions of the JVM except names, which is Python. `detect` runs a
+list of them in one stage, without a shuffle; Python detectors, the choice between overlapping entities and what a caller
+does with them are one Arrow function over the text and the other detectors' entities.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,13 +29,15 @@ TIERS = {"structural": 3, "reference": 2, "pattern": 1, "statistical": 0}
 class Detector:
     """`find` maps a text column to entities; register your own by putting it in the list given to `detect`.
 
-    One that is `compacting` is given a `Text`, with the text without blanks inside numbers.
+    One that is `compacting` is given a `Text`, with the text without blanks inside numbers. One in Python has a `scan` from
+    a text to entities (type, start, end, confidence).
     """
 
     name: str
     tier: str
     find: Callable[[Column], Column]
     compacting: bool = False
+    scan: Callable[[str], list[tuple[str, int, int, float]]] | None = None
 
     def of(self, text: Column, compact: Column, blanks: Column) -> Column:
         return self.find(Text(text, compact, blanks) if self.compacting else text)
@@ -176,7 +180,7 @@ def python_detector(name: str, tier: str, find: Callable[[str], list[tuple[str,
     def run(col: pa.Array) -> pa.Array:
         return pa.array([[{"type": k, "start": a, "end": b, "value": t[a:b], "confidence": c, "tier": tier} for k, a, b, c in sorted(find(t), key=lambda e: e[1])] if t else [] for t in col.to_pylist()], kind)
 
-    return Detector(name, tier, run.asNondeterministic())
+    return Detector(name, tier, run.asNondeterministic(), scan=lambda t: sorted(find(t), key=lambda e: e[1]))
 
 
 def no_entities(text: Column) -> Column:
@@ -187,7 +191,7 @@ def no_entities(text: Column) -> Column:
 STRUCTURAL = (Detector("nir", "structural", nir, True), Detector("rpps", "structural", rpps), Detector("iban", "structural", iban, True), Detector("finess", "structural", finess, True))
 DEFAULT = (
     *STRUCTURAL,
-    Detector("nom", "reference", names),
+    Detector("nom", "reference", names, scan=lambda t: [("nom", a, b, c) for a, b, c in find_names(t)]),
     Detector("date_naissance", "pattern", birth_date),
     Detector("adresse", "pattern", address),
     Detector("telephone", "pattern", phone),
@@ -200,29 +204,34 @@ def _by_start(a: Column, b: Column) -> Column:
     return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(0)
 
 
-def _by_priority(a: Column, b: Column) -> Column:
-    def rank(x: Column) -> Column:
-        return F.coalesce(F.when(x["tier"] == "structural", 3).when(x["tier"] == "reference", 2).when(x["tier"] == "pattern", 1).when(x["tier"] == "statistical", 0), F.lit(-1))
+_KIND = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("confidence", pa.float64()), ("tier", pa.string())]))
 
-    size = (b["end"] - b["start"]) - (a["end"] - a["start"])
-    return (
-        F.when(size != 0, size)
-        .when(a["confidence"] != b["confidence"], F.when(a["confidence"] > b["confidence"], -1).otherwise(1))
-        .when(rank(a) != rank(b), rank(b) - rank(a))
-        .when(a["start"] != b["start"], a["start"] - b["start"])
-        .when(a["type"] != b["type"], F.when(a["type"] < b["type"], -1).otherwise(1))
-        .otherwise(0)
-    )
+
+def resolved(entities: list[dict]) -> list[dict]:
+    """Greedy choice: longest, then surest, then highest tier, then first; kept if it overlaps none kept. By start.
+
+    Kept entities don't overlap, so only the neighbour before an entity's end is looked at.
+    """
+    if len(entities) < 2:
+        return entities
+    starts: list[int] = []
+    kept: list[dict] = []
+    for e in sorted(entities, key=lambda e: (e["start"] - e["end"], -e["confidence"], -TIERS.get(e["tier"], -1), e["start"], e["type"])):
+        k = bisect_left(starts, e["end"])
+        if k == 0 or kept[k - 1]["end"] <= e["start"]:
+            starts.insert(k, e["start"])
+            kept.insert(k, e)
+    return kept
 
 
 def resolve_overlaps(entities: Column) -> Column:
-    """Greedy choice: longest, then surest, then highest tier, then first; kept if it overlaps none kept. By start."""
-    kept = F.aggregate(
-        F.array_sort(entities, _by_priority),
-        F.array().cast(ENTITY),
-        lambda acc, e: F.when(F.exists(acc, lambda k: (e["start"] < k["end"]) & (k["start"] < e["end"])), acc).otherwise(F.concat(acc, F.array(e))),
-    )
-    return F.when(F.size(entities) > 1, F.array_sort(kept, _by_start)).otherwise(entities)
+    """`resolved` as a column; only arrays of several entities leave the JVM."""
+
+    @F.arrow_udf(ENTITY)
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([x and resolved(x) for x in col.to_pylist()], _KIND)
+
+    return F.when(F.size(entities) > 1, run.asNondeterministic()(F.when(F.size(entities) > 1, entities))).otherwise(entities)
 
 
 def entities_of(text: Column, detectors: tuple[Detector, ...] = DEFAULT) -> Column:
@@ -232,10 +241,38 @@ def entities_of(text: Column, detectors: tuple[Detector, ...] = DEFAULT) -> Colu
 
 def detect(docs: DataFrame, *, text_col: str = "text", out: str = "entities", detectors: tuple[Detector, ...] = DEFAULT) -> DataFrame:
     """`docs` with the array column `out`. Candidates are found in one projection and resolved in the next."""
+    found = with_candidates(docs, text_col, detectors)
+    scans = [x for x in detectors if x.scan]
+    if not scans:
+        return found.select(*_of(docs, out), resolve_overlaps(F.col("__candidates")).alias(out))
+
+    @F.arrow_udf(ENTITY)
+    def run(texts: pa.Array, candidates: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([everything(t, c, scans) for t, c in zip(texts.to_pylist(), candidates.to_pylist(), strict=True)], _KIND)
+
+    return found.select(*_of(docs, out), run.asNondeterministic()("__text", "__candidates", F.size("__candidates")).alias(out))
+
+
+def everything(text: str, candidates: list[dict], scans: list[Detector]) -> list[dict]:
+    """A text's entities: `candidates` and what `scans` find, overlaps resolved."""
+    more = [{"type": k, "start": a, "end": b, "value": text[a:b], "confidence": c, "tier": x.tier} for x in scans for k, a, b, c in x.scan(text)] if text else []
+    return resolved([*candidates, *more])
+
+
+def _of(docs: DataFrame, *but: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns if c not in but]
+
+
+def with_candidates(docs: DataFrame, text_col: str, detectors: tuple[Detector, ...]) -> DataFrame:
+    """`docs` with __text, null as empty, and __candidates: the entities of all detectors that aren't Python.
+
+    A Python function of __candidates must take them twice, as its size also: folded into the call, their expressions with
+    lambdas would keep Spark from seeing the function.
+    """
     text = F.col("__text")
+    few = [x for x in detectors if not x.scan]
     found = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    if any(x.compacting for x in detectors):
+    if any(x.compacting for x in few):
         found = found.withColumn("__compact", compact_digits(text)).withColumn("__blanks", removed_blanks(text))
-    found = found.withColumns({f"__{k}": x.of(text, F.col("__compact"), F.col("__blanks")) for k, x in enumerate(detectors)})
-    found = found.withColumn("__candidates", F.concat(*(F.col(f"__{k}") for k in range(len(detectors)))))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), resolve_overlaps(F.col("__candidates")).alias(out))
+    found = found.withColumns({f"__{k}": x.of(text, F.col("__compact"), F.col("__blanks")) for k, x in enumerate(few)})
+    return found.withColumn("__candidates", F.concat(*(F.col(f"__{k}") for k in range(len(few)))) if few else F.array().cast(ENTITY))

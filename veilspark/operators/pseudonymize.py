@@ -7,15 +7,12 @@ one Python function over Arrow batches; restoring is a fold of column expression
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from ..functions.text import WS
-from .detect import DEFAULT, Detector, detect
+from .detect import _KIND, DEFAULT, ENTITY, Detector, _of, everything, with_candidates
 
 _MAPPING = pa.map_(pa.string(), pa.string())
 
@@ -65,20 +62,26 @@ def mask(text: str, entities: list[dict]) -> tuple[str, list[tuple[str, str]]]:
 def redact(docs: DataFrame, *, text_col: str = "text", detectors: tuple[Detector, ...] = DEFAULT) -> DataFrame:
     """`docs` with entities, masked and mapping: one stage, no shuffle. A null text has a null mask and no mapping.
 
-    Rows go through Python in Arrow batches once; select the columns you need before.
+    Texts and candidates go through Python once: entities are chosen and masked in the same Arrow function.
     """
-    found = detect(docs.drop("masked", "mapping"), text_col=text_col, detectors=detectors)
-    at_text, at_entities = found.columns.index(text_col), found.columns.index("entities")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [None if t is None else mask(t, e) if e else (t, []) for t, e in zip(batch.column(at_text).to_pylist(), batch.column(at_entities).to_pylist(), strict=True)]
-            masked = pa.array([r and r[0] for r in rows], pa.string())
-            mapping = pa.array([None if r is None else r[1] for r in rows], _MAPPING)
-            yield pa.RecordBatch.from_arrays([*batch.columns, masked, mapping], names=[*batch.schema.names, "masked", "mapping"])
-
-    schema = StructType([*found.schema.fields, StructField("masked", StringType()), StructField("mapping", MapType(StringType(), StringType()))])
-    return found.mapInArrow(run, schema)
+    found = with_candidates(docs, text_col, detectors)
+    scans = [x for x in detectors if x.scan]
+    kind = pa.struct([("entities", _KIND), ("masked", pa.string()), ("mapping", _MAPPING)])
+
+    def one(t: str | None, candidates: list[dict]) -> dict:
+        if t is None:
+            return {"entities": [], "masked": None, "mapping": None}
+        e = everything(t, candidates, scans)
+        masked, mapping = mask(t, e) if e else (t, [])
+        return {"entities": e, "masked": masked, "mapping": mapping}
+
+    @F.arrow_udf(f"struct<entities:{ENTITY},masked:string,mapping:map<string,string>>")
+    def run(texts: pa.Array, candidates: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([one(t, c) for t, c in zip(texts.to_pylist(), candidates.to_pylist(), strict=True)], kind)
+
+    new = ("entities", "masked", "mapping")
+    out = found.select(*_of(docs, *new), run.asNondeterministic()(F.col(text_col), "__candidates", F.size("__candidates")).alias("__redacted"))
+    return out.select(*_of(docs, *new), *(F.col(f"__redacted.{c}").alias(c) for c in new))
 
 
 def restored(text: Column, mapping: Column) -> Column:
