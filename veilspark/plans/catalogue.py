@@ -135,9 +135,15 @@ def _one_detector(detector: d.Detector) -> Callable:
     return run
 
 
+#: Telephone numbers by shape in texts of other types: an IBAN in fours may begin a group with 0.
+_ELSEWHERE = r""" UNION ALL SELECT doc_id, 'telephone', cast(strpos(text, m) - 1 + length(regexp_extract(m, '^([^0-9]?)', 1)) as int),
+  cast(strpos(text, m) - 1 + length(regexp_extract(m, '^([^0-9]?)', 1)) + length(v) as int), v, 0.8
+  FROM (SELECT doc_id, text, regexp_extract(text, '(?:^|[^0-9])(?:\+33[ .-]?|0)[1-9](?:[ .-]?[0-9]{2}){4}(?:$|[^0-9])') AS m,
+    regexp_extract(text, '(?:^|[^0-9])((?:\+33[ .-]?|0)[1-9](?:[ .-]?[0-9]{2}){4})(?:$|[^0-9])', 1) AS v FROM corpus WHERE type <> 'telephone') WHERE m <> ''"""
 for _d in d.DEFAULT:
     _name = {"nom": "name", "date_naissance": "birthdate", "adresse": "address", "telephone": "phone", "etablissement": "establishment", "email": "email_corpus"}.get(_d.name, _d.name)
-    query(f"{_name}_spans", f"WITH {sql.CORPUS} SELECT doc_id, type, start_at, end_at, value, confidence FROM corpus WHERE type = '{_d.name}'")(_one_detector(_d))
+    _own = f"WITH {sql.CORPUS} SELECT doc_id, type, start_at, end_at, value, confidence FROM corpus WHERE type = '{_d.name}'"
+    query(f"{_name}_spans", _own + (_ELSEWHERE if _d.name == "telephone" else ""))(_one_detector(_d))
 
 
 @query("detect_all", f"WITH {sql.CORPUS} SELECT doc_id, type, start_at, end_at, value, confidence FROM corpus")
@@ -576,10 +582,10 @@ def stream_redact(spark, sf_dir):
     """The corpus as a stream of files, redacted by the same transformation, read back from the sink."""
     import uuid
 
-    from ..session import shared_dir
+    from ..session import shared_dir, tracked
     from ..streaming.redaction import redact_folder
 
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = tracked(f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
     corpus(spark, sf_dir).select("doc_id", "text").write.parquet(f"{at}/in")
     redact_folder(spark, f"{at}/in", "doc_id bigint, text string", f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "masked")

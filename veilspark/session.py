@@ -28,15 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and there after executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = tracked(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
 
 
+def tracked(path: str) -> str:
+    """`path`, which `drop_written` will delete too."""
+    _WRITTEN.append(path)
+    return path
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables that `written` has made so far; call it once the results that read them are saved."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -134,6 +134,14 @@ def unknown_departments(counts: DataFrame, departments: DataFrame) -> DataFrame:
     return counts.where("dep not in ('000', '999')").select("dep").distinct().join(departments, "dep", "left_anti")
 
 
+def require_known_departments(counts: DataFrame, departments: DataFrame, show: int = 20) -> DataFrame:
+    """`counts`, or a ValueError that names the first departments in them that the hierarchy lacks."""
+    lost = [r.dep for r in unknown_departments(counts, departments).orderBy("dep").limit(show).collect()]
+    if lost:
+        raise ValueError(f"departments without a region: {', '.join(lost)}")
+    return counts
+
+
 # == a small invented set ==
 
 _TOWNS = "Aubeville Bellerive Champfleur Dorlanges Esperelle Fontclair Grandpré Hauterive Issanges Jolival".split()
