@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, minhash, mixing, pii, quality
-from veilspark.session import table, written
+from veilspark.session import drop_written, table, written, written_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage left in the shared folder goes when its output is written, and so does its input."""
+    docs, since = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_written(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -65,13 +65,13 @@ def estimate_flat(df: DataFrame, dims: Dimensions) -> DataFrame:
     All joins are with reference tables of a fixed size (at most one row a commune), each at most one row a match; ages
     need none: cumulative counts by age are one literal array.
     """
-    ages = {r["age"]: r["n"] for r in dims.ages.collect()}  # about a hundred rows
+    ages = dims.age_counts
     running, cumulative = 0, []
     for age in range(131):
         running += ages.get(age, 0)
         cumulative.append(running)
     total = sum(ages.values())
-    known = [r[0] for r in dims.specialties.select("code").collect()] + [r[0] for r in dims.professions.select("profession").distinct().collect()] + [ALL_SPECIALTIES, ANY_PROFESSIONAL]
+    known = [*dims.profession_keys, ALL_SPECIALTIES, ANY_PROFESSIONAL]
 
     def active(q: str) -> Column:
         return F.when(F.col(f"{q}.value") != WITHDRAWN, F.col(q))

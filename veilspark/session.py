@@ -42,11 +42,20 @@ def tracked(path: str) -> str:
     return path
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that `written` has made so far; call it once the results that read them are saved."""
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that `written` has made so far; call it once the results that read them are saved.
+
+    Those before number `since` stay, and the last `keep`.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
+
+
+def written_so_far() -> int:
+    """How many tables `written` has made that are still there."""
+    return len(_WRITTEN)

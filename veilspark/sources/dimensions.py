@@ -7,6 +7,7 @@ figures, for tests and examples; it isn't fit for real estimates.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ class Dimensions:
     ages: DataFrame
     regions: DataFrame
 
+    @cached_property
+    def age_counts(self) -> dict[int, int]:
+        """How many there are of each age: about a hundred rows, read once."""
+        return {r["age"]: r["n"] for r in self.ages.collect()}
+
+    @cached_property
+    def profession_keys(self) -> list[str]:
+        """The codes of specialties and the names of professions: some dozens, read once."""
+        return [r[0] for r in self.specialties.select("code").unionByName(self.professions.select(F.col("profession").alias("code")).distinct()).collect()]
+
     def population_by_department(self) -> DataFrame:
         """(dep, population); unknown populations count as 0."""
         return self.communes.groupBy("dep").agg(F.sum(F.coalesce("pmun", F.lit(0))).cast("bigint").alias("population"))
