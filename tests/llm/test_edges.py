@@ -152,13 +152,13 @@ def test_chat(spark):
     out = chat.format_chats(df)
     assert out.count() == len(rows)
     text = {}
-    for r in out.orderBy("conv_id", "turn").collect():
+    for r in out.orderBy("conv_id", "place").collect():
         text[r.conv_id] = text.get(r.conv_id, "") + r.piece
     e = chat.END
     assert text[1] == f"<|user|>\nhi{e}<|assistant|>\nyo\nyo{e}"
-    assert text[3] == f"<|user|>\n{e}<|assistant|>\nx{e}" or text[3].endswith(e)
+    assert text[3] == f"<|user|>\n{e}<|assistant|>\nx{e}"
     assert text[4] == f"<|user|>\n{e}<|assistant|>\nb{e}"
-    assert text[5] == f"<|system|>\ns{e}<|user|>\n{e}<|assistant|>\n{e}" or "<|assistant|>" in text[5]
+    assert text[5] == f"<|user|>\ns{e}<|assistant|>\n{e}"  # one role changed and one empty turn cost less than two empty turns
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 

@@ -107,32 +107,33 @@ def piece(text: str, role: str, action: str, put: int, first: bool, final: bool)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(conv, part, m) for each stretch: rows come by part and place."""
-    key, m, out = None, None, []
+    """(conv, part, n, m) for each stretch, n its turns: rows come by part and place."""
+    key, m, n, out = None, None, 0, []
 
     def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].ravel().tolist() for r in rows], pa.list_(pa.float64()))], names=["conv", "part", "m"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3].ravel().tolist() for r in rows], pa.list_(pa.float64()))], names=["conv", "part", "n", "m"])
 
     for batch in batches:
         for conv, part, role in zip(*(batch.column(c).to_pylist() for c in ("conv", "part", "role")), strict=True):
             step = _MATRICES[known(role)]
             if key == (conv, part):
-                m = combine(m, step)
+                m, n = combine(m, step), n + 1
             else:
                 if key:
-                    out.append((*key, m))
-                key, m = (conv, part), step
+                    out.append((*key, n, m))
+                key, m, n = (conv, part), step, 1
         if len(out) > 4096:
             yield batch_of(out)
             out = []
     if key:
-        out.append((*key, m))
+        out.append((*key, n, m))
     if out:
         yield batch_of(out)
 
 
 def _edges(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each stretch: the costs of the states before it, the state after it, and whether it is first or last."""
+    """For each stretch: the turns and the costs of the states before it, the state after it, and whether it is first or last."""
+    size = t.column("n").to_numpy()
     conv, part = t.column("conv").to_numpy(), t.column("part").to_numpy()
     ms = t.column("m").combine_chunks().flatten().to_numpy().reshape(-1, 4, 4)
     rows = []
@@ -141,14 +142,14 @@ def _edges(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         costs = [np.array([0.0, INF, INF, INF])]
         for k in order:
             costs.append((costs[-1][:, None] + ms[k]).min(0))
-        state = int((costs[-1] + FINAL).argmin())
+        state, ahead = int((costs[-1] + FINAL).argmin()), np.cumsum(size[order]) - size[order]
         for at in range(len(order) - 1, -1, -1):
             k = order[at]
-            rows.append((conv[k], part[k], costs[at].tolist(), state, at == 0, at == len(order) - 1))
+            rows.append((conv[k], part[k], costs[at].tolist(), state, at == 0, at == len(order) - 1, int(ahead[at])))
             state = int((costs[at] + ms[k][:, state]).argmin())
     if rows:
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "part", "before", "after", "head", "tail"])
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "part", "before", "after", "head", "tail", "ahead"])
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +158,18 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         conv, part = t.column("conv").to_numpy(), t.column("part").to_numpy()
-        cols = {c: t.column(c).to_pylist() for c in ("role", "text", "before", "after", "head", "tail")}
-        new, did, empty, out = [], [], [], []
+        cols = {c: t.column(c).to_pylist() for c in ("role", "text", "before", "after", "head", "tail", "ahead")}
+        new, did, empty, out, place = [], [], [], [], []
         cuts = np.flatnonzero((conv[1:] != conv[:-1]) | (part[1:] != part[:-1])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(conv)], strict=True):
             fixed = repair([known(r) for r in cols["role"][lo:hi]], np.array(cols["before"][lo]), cols["after"][lo])
             for k, (role, action, put) in zip(range(lo, hi), fixed, strict=True):
+                place.append(cols["ahead"][lo] + k - lo + 1)
                 new.append(role)
                 did.append(action)
                 empty.append(int(bool(put)))
                 out.append(piece(cols["text"][k] or "", role, action, put, k == lo and cols["head"][k], k == hi - 1 and cols["tail"][k]))
-        return pa.RecordBatch.from_arrays([t.column("conv_id").combine_chunks(), t.column("turn").combine_chunks(), pa.array(new), pa.array(did), pa.array(empty, pa.int32()), pa.array(out)], names=["conv_id", "turn", "role", "action", "n_inserted", "piece"])
+        return pa.RecordBatch.from_arrays([t.column("conv_id").combine_chunks(), t.column("turn").combine_chunks(), pa.array(place, pa.int64()), pa.array(new), pa.array(did), pa.array(empty, pa.int32()), pa.array(out)], names=["conv_id", "turn", "place", "role", "action", "n_inserted", "piece"])
 
     for batch in batches:
         held.append(batch)
@@ -183,11 +185,11 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, action, n_inserted and piece of every row of `turns`; other columns are not read.
+    """conv_id, turn, place, role, action, n_inserted and piece of every row of `turns`; other columns are not read.
 
-    Turns are in order of turn (null first), then role, then a hash of the text; equal rows are interchangeable. Roles
-    are taken without blanks at their ends and in lower case. The pieces of a conversation in that order, joined, are its
-    rendering. Null text is empty. Rows with a null conv_id are one conversation. An empty table gives an empty result.
+    Turns are in order of turn (null first), then role as given, then a hash of the text; equal rows are interchangeable.
+    place counts from 1 in that order in each conversation. Roles are taken without blanks at their ends and in lower case.
+    The pieces of a conversation by place, joined, are its rendering. Null text is empty. Rows with a null conv_id are one conversation. An empty table gives an empty result.
     Among repairs of equal cost, one is taken by fixed rules; reruns over the same files agree.
     """
     rows = turns.select(
@@ -197,10 +199,10 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(placed.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).drop("h"), "turns")
     stretch = placed.select("conv", "part", "place", "role").repartition("part").sortWithinPartitions("part", "place")
-    parts = written(stretch.mapInArrow(_fold, "conv long, part int, m array<double>"), "stretches")
-    ends = written(by_group(parts, "conv", _edges, "conv long, part int, before array<double>, after int, head boolean, tail boolean"), "edges")
+    parts = written(stretch.mapInArrow(_fold, "conv long, part int, n long, m array<double>"), "stretches")
+    ends = written(by_group(parts, "conv", _edges, "conv long, part int, before array<double>, after int, head boolean, tail boolean, ahead long"), "edges")
     ready = placed.join(ends, ["conv", "part"]).repartition("part").sortWithinPartitions("part", "place")
-    return ready.mapInArrow(_repair, "conv_id long, turn long, role string, action string, n_inserted int, piece string")
+    return ready.mapInArrow(_repair, "conv_id long, turn long, place long, role string, action string, n_inserted int, piece string")
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
