@@ -133,6 +133,18 @@ def test_spans_that_patterns_miss_are_found_in_new_texts(tagger):
     assert all(set(b) <= set(f) for b, f in zip(base, found))
 
 
+def test_numbers_side_by_side_are_told_apart(tagger):
+    """A telephone pattern reads on into the number after it, and then fails its check."""
+    rng = random.Random(12)
+    texts = [f"the quede ing {a_span('phone', rng)} {a_span('ip', rng)} blee on" for _ in range(60)]
+    base = [pii.base_spans(t) for t in texts]
+    alone = [i for i, b in enumerate(base) if [k for k, _, _ in b] == ["ip"]]
+    assert len(alone) > 40
+    found = pii.all_spans(tagger, texts, base)
+    right = [("phone", 14, texts[i].rindex(" ", 0, base[i][0][1])) in found[i] for i in alone]
+    assert sum(right) >= 0.7 * len(alone), (sum(right), len(alone))
+
+
 def test_texts_of_any_kind_with_a_tagger(tagger, spark):
     span = "joe7 @ mail.example.com"
     long = "theing blee quede " * 20_000 + span + " 12 " * 30_000 + span + " laon" * 100

@@ -449,9 +449,13 @@ def respelt(kind: str, text: str, rng: np.random.Generator, signs: str = "./_-")
 
 
 def windows_of(texts: list[str], seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows and tags: surroundings of digits and @ as they are, and once more with spans respelt."""
+    """Training windows and tags: surroundings of digits and @ as they are, and once more with spans respelt.
+
+    Respelt, a span may have one of another kind right after it, which patterns that read on take for more of the first.
+    """
     rng = np.random.default_rng(seed)
     xs, ys = [], []
+    seen: dict[str, str] = {}  # a span of each kind, the last read
     for text in texts:
         base = sorted(base_spans(text), key=lambda s: (s[1], -s[2]))
         flat, end = [], 0
@@ -462,12 +466,20 @@ def windows_of(texts: list[str], seed: int = 8) -> tuple[np.ndarray, np.ndarray]
         for again in (False, True) if flat else (False,):
             parts, marks, at, n = [], [], 0, 0
             for k, a, b in flat:
-                new = respelt(k, text[a:b], rng) if again else text[a:b]
+                next_to = again and rng.random() < 0.4
+                new = respelt(k, text[a:b], rng) if again and not next_to else text[a:b]
                 parts += [text[at:a], new]
                 n += a - at
                 marks.append((k, n, n + len(new)))
                 n += len(new)
                 at = b
+                others = [x for x in seen if x != k] if next_to else []
+                if others:
+                    other = others[int(rng.integers(len(others)))]
+                    parts.append(f" {seen[other]}")
+                    marks.append((other, n + 1, n + 1 + len(seen[other])))
+                    n += 1 + len(seen[other])
+                seen[k] = text[a:b]
             full = "".join([*parts, text[at:]])
             tags = np.zeros(len(full), np.int64)
             for k, a, b in marks:
