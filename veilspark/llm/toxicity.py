@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import remainder, sample_by_class
+from .training import remainder
 
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "o"}
 SEPARATORS = ".-_*~'/ ,:;+"
@@ -27,6 +28,7 @@ _RUN = re.compile(r"([^\W\d_])\1\1")
 _ONE = r"(?:[^\W_]|[@$!€£¡#%(])"
 _SPACED = re.compile(rf"(?<![^\W_])(?=[^\s]){_ONE}(?:[\s{re.escape(SEPARATORS)}]++{_ONE}){{2,}}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _STOPS = ".,;:!?\"')]}"
 _MANY = re.compile(r"(.)\1+", re.S)
 _SIGN = re.compile(f"[{re.escape(''.join(LEET) + SEPARATORS)}]")
@@ -69,35 +71,42 @@ class Restorer:
         self.unseen = {k: -float(np.log(0.1 / (n + 0.1 * symbols))) for k, n in two.items()}
         self.floor = float(np.log(symbols)) + 2
         self.swap, self.drop = swap, drop
+        self._options: dict[tuple[str, bool], list[tuple[str, float]]] = {}
 
     def step(self, context: str, c: str) -> float:
         k = context + c
         return self.cost[k] if k in self.cost else self.unseen.get(context, self.floor)
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """What each character may stand for, with its cost; '' is nothing."""
-        out = []
-        for i, c in enumerate(token):
-            options = [(c, 0.0)] if c.isalnum() else []
-            options += [(x, self.swap) for x in LEET.get(c, "")]
-            if i and c.isalpha() and c == token[i - 1]:
-                options.append(("", self.drop))
-            elif c in SEPARATORS or not options:
-                options.append(("", self.drop))
-            out.append(options)
+    def options(self, c: str, again: bool) -> list[tuple[str, float]]:
+        """What a character may stand for, with its cost; '' is nothing. `again`: it follows its like."""
+        out = self._options.get((c, again))
+        if out is None:
+            out = [(c, 0.0)] if c.isalnum() else []
+            out += [(x, self.swap) for x in LEET.get(c, "")]
+            if again and c.isalpha() or c in SEPARATORS or not out:
+                out.append(("", self.drop))
+            self._options[c, again] = out
         return out
 
+    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
+        return [self.options(c, i > 0 and c == token[i - 1]) for i, c in enumerate(token)]
+
     def restore(self, token: str) -> str:
         """The likeliest plain form of a lower-case token; time is linear in its length."""
+        known, unseen, floor = self.cost.get, self.unseen.get, self.floor
         states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         for options in self.lattice(token):
             after: dict[str, tuple[float, tuple | None]] = {}
             for context, (cost, path) in states.items():
                 for c, extra in options:
-                    k = context if not c else context[1] + c
-                    new = cost + extra + (self.step(context, c) if c else 0.0)
+                    if c:
+                        k = context + c
+                        step = known(k)
+                        new, k, to = cost + extra + (unseen(context, floor) if step is None else step), k[1:], (c, path)
+                    else:
+                        new, k, to = cost + extra, context, path
                     if k not in after or new < after[k][0]:
-                        after[k] = (new, (c, path) if c else path)
+                        after[k] = (new, to)
             states = after
         _, path = min(((cost + self.step(context, "^"), path) for context, (cost, path) in states.items()), key=lambda x: x[0])
         out = []
@@ -127,47 +136,36 @@ def outline(token: str) -> str:
     return _MANY.sub(r"\1", re.sub(r"[\W_]+", "", token.translate(_ALIKE)))
 
 
-class _Memo(dict):
-    """Token -> what `make` gives for it; filled when asked, and emptied when it has `size` entries."""
-
-    def __init__(self, make, size: int = 400_000):
-        super().__init__()
-        self.make, self.size = make, size
-
-    def __missing__(self, token: str):
-        if len(self) >= self.size:
-            self.clear()
-        found = self.make(token)
-        if len(token) <= 64:
-            self[token] = found
-        return found
-
-
 class Reader:
     """Counts a text's features in its restored tokens: those in `known`, or all if that is None.
 
     With `known`, a token is only decoded if a path of its lattice may have a known feature (by `outline`).
     """
 
-    def __init__(self, restorer: Restorer, known: set[str] | None = None):
-        self.restorer, self.known = restorer, known
+    def __init__(self, restorer: Restorer, known: set[str] | None = None, size: int = 150_000):
+        self.restorer, self.known, self.size = restorer, known, size
         self._memo = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
+        return {"restorer": self.restorer, "known": self.known, "size": self.size, "_memo": None}
 
     def _ready(self) -> None:
-        self._memo = _Memo(self._found)
+        self._memo, self._old, self._blank = {}, {}, set()  # tokens' features, of late and before, `size` each; up to 3 * `size` tokens without any
         known = self.known or set()
+        self._same = {f: f for f in known}
         self._words = {outline(f[:-1]) for f in known if f.endswith("$")}
         self._begins = {outline(f) for f in known if not f.endswith("$")}
         self._fours = {f[:4] for f in known if not f.endswith("$")}
         self._sizes = sorted({len(f) for f in self._begins})
+        self._thirds = {o[:3] for o in self._words | self._begins}
+        self._short = any(len(o) < 3 for o in self._thirds)
 
     def _may(self, token: str) -> bool:
         if self.known is None or _OPEN.search(token):
             return True
-        o = outline(token)
+        o = _MANY.sub(r"\1", token.replace("l", "i")) if token.isalpha() else outline(token)
+        if not self._short and o[:3] not in self._thirds:
+            return False
         return o in self._words or any(o[:n] in self._begins for n in self._sizes)
 
     def words(self, token: str) -> list[str]:
@@ -185,37 +183,71 @@ class Reader:
         return out
 
     def _found(self, token: str) -> tuple[str, ...]:
-        k = self.known
+        k = self._same if self.known is not None else None
+        if token.isalpha():  # what `words` gives for letters only
+            words = [token, self.restorer.restore(token)] if any(map(eq, token, token[1:])) and self._may(token) else [token]
+            if k is not None and len(words) == 1 and token[:4] not in self._fours and f"{token}$" not in k:
+                return ()
+        else:
+            words = self.words(token)
         if k is None:
-            return tuple({f for word in self.words(token) for f in features(word)})
-        return tuple({f for word in self.words(token) for f in (features(word) if word[:4] in self._fours else (f"{word}$",)) if f in k})
-
-    def count(self, text: str) -> tuple[dict[str, int], int]:
-        """How often each feature occurs in a text, and the number of its tokens.
+            return tuple({f for word in words for f in features(word)})
+        return tuple({k[f] for word in words for f in (features(word) if word[:4] in self._fours else (f"{word}$",)) if f in k})
 
-        Letters that stand apart in a row ("i d i-o-t") may be words in any way: each of them may begin one.
-        """
+    def _hits(self, tokens: Iterable[str]) -> dict[str, tuple[str, ...]]:
+        """The features of those tokens that have any; stops at a token's end never change them."""
         if self._memo is None:
             self._ready()
-        low = text.lower()
-        tokens = Counter(low.split())
-        out: dict[str, int] = {}
-        for token, n in tokens.items():
-            for f in self._memo[token]:
-                out[f] = out.get(f, 0) + n
+        out, blank = {}, self._blank
+        for token in set(tokens) - blank:
+            core = token.rstrip(_STOPS)
+            found = self._memo.get(core)
+            if found is None:
+                found = self._old.get(core) or (self._found(core) if core and core not in blank else ())
+                if found and len(core) <= 64:
+                    if len(self._memo) >= self.size:
+                        self._memo, self._old = {}, self._memo
+                    self._memo[core] = found
+            if found:
+                out[token] = found
+            elif len(token) <= 64:
+                if len(blank) >= 3 * self.size:
+                    blank.clear()
+                blank.add(token)
+                blank.add(core)
+        return out
+
+    def _apart(self, low: str) -> Iterator[set[str]]:
+        """The features of each row of letters that stand apart ("i d i-o-t"): they may be words in any way, each may begin one."""
         for m in _SPACED.finditer(low):
             run = "".join(c for c in m.group() if c not in SEPARATORS and not c.isspace())
             if sum(c.isalpha() for c in run) < 2:
                 continue
             word = self.restorer.restore(run)
             if self.known is None:
-                some = set(features(word))
+                yield set(features(word))
             else:
                 ends = [f"{word[a:b]}$" for a in range(len(word)) for b in range(a + 3, min(len(word), a + 24) + 1)]
-                some = self.known.intersection(ends) | self.known.intersection(word[a : a + n] for a in range(len(word)) for n in range(4, 9))
+                yield self.known.intersection(ends) | self.known.intersection(word[a : a + n] for a in range(len(word)) for n in range(4, 9))
+
+    def present(self, text: str) -> set[str]:
+        """The features that occur in a text."""
+        low = text.lower()
+        return set().union(*self._hits(low.split()).values(), *self._apart(low))
+
+    def count(self, text: str) -> tuple[dict[str, int], int]:
+        """How often each feature occurs in a text, and the number of its tokens."""
+        low = text.lower()
+        tokens = low.split()
+        hits = self._hits(tokens)
+        out: dict[str, int] = {}
+        for token, n in Counter(filter(hits.__contains__, tokens)).items():
+            for f in hits[token]:
+                out[f] = out.get(f, 0) + n
+        for some in self._apart(low):
             for f in some:
                 out[f] = out.get(f, 0) + 1
-        return out, sum(tokens.values())
+        return out, len(tokens)
 
 
 class Scorer:
@@ -238,98 +270,203 @@ def rate(count: int, tokens: int) -> float:
     return float(np.log2(1 + 100 * count / max(tokens, count, 1)))
 
 
-def weigh(restorer: Restorer, able: list[str], rows: list[dict[int, float]], labels: list[int], rounds: int = 800) -> Scorer:
-    """Logistic weights of the features `able`; `rows` are each text's rates by the feature's place in it."""
-    y = np.array(labels, float)
-    n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    k = len(able)
-    at = np.repeat(np.arange(len(rows)), [2 * len(r) for r in rows])
-    col = np.array([c for r in rows for p in sorted(r) for c in (p, k + p)], np.int64)
-    val = np.array([v for r in rows for p in sorted(r) for v in (1.0, r[p])], float)
-    w, b = np.zeros(2 * k), float(np.log(n1 / n0))
-    m, v = np.zeros(2 * k + 1), np.zeros(2 * k + 1)
-    for step in range(1, rounds + 1):  # Adam on the mean log loss with a small ridge
-        z = b + np.bincount(at, w[col] * val, minlength=len(y))
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(col, r[at] * val, minlength=2 * k) + 1e-6 * w, r.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        pace = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - pace[:-1], b - pace[-1]
-    there, share = ({f: float(x) for f, x in zip(able, part, strict=True)} for part in (w[:k], w[k:]))
-    return Scorer(restorer, there, float(b), share)
-
-
-#: Tasks over the sample; its rows are few, and some texts are long.
-TASKS = 32
-
-
-def fit(sample: DataFrame, labels: dict[int, int], *, most: int = 4000) -> Scorer:
-    """A language model of the plain words of `sample` (u, y, text), and logistic weights of the `most` features that best tell y.
-
-    Texts are read whole in their tasks; the driver gets counts of three characters in a row, the `most` features, and
-    how often each row has them. `labels` are the rows' y by u.
+#: Parts of the rows' features, each summed in a fixed order, so that reruns agree; and entries of a task's counts.
+PARTS, HELD = 12, 300_000
+
+
+def descend(slope, w: np.ndarray, rounds: int = 200, close: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """The minimum of a smooth convex function by L-BFGS; `slope(w)` gives value and gradient. Ends when a step gains under `close` of the value."""
+    value, g = slope(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            kept.append(float(s @ d) / float(s @ y))
+            d = d - kept[-1] * y
+        d = d * (float(steps[-1][0] @ steps[-1][1]) / float(steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1e-12, float(np.abs(g).max())))
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            d = d + (a - float(y @ d) / float(s @ y)) * s
+        down, size = float(g @ d), 1.0
+        while size > 1e-6:
+            new, new_g = slope(w + size * d)
+            if new <= value + 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            return w
+        s, y = size * d, new_g - g
+        steps = [*steps, (s, y)][-memory:] if float(s @ y) > 1e-14 else steps
+        gain, w, value, g = value - new, w + s, new, new_g
+        if gain <= close * value:
+            break
+    return w
+
+
+def weigh(restorer: Restorer, able: list[str], rows: DataFrame, n1: int, n0: int, ridge: float = 1e-5) -> Scorer:
+    """Logistic weights of the features `able`, from all `rows`: (y, at, rate, n), each n texts with the features at places `at` and their rates.
+
+    The rows stay in the executors; the driver gets each part's gradient.
     """
-    spark = sample.sparkSession
-    sample = sample.repartition(TASKS)
-    n1, n0 = max(1.0, float(sum(labels.values()))), max(1.0, float(len(labels) - sum(labels.values())))
+    k, total, sc = len(able), n1 + n0, rows.sparkSession.sparkContext
+
+    def packed(i: int, part: Iterator) -> Iterator[tuple]:
+        some = list(part)
+        at = np.array([p for r in some for p in r["at"]], np.int64)
+        yield i, np.array([r["y"] for r in some], float), np.array([r["n"] for r in some], float), np.repeat(np.arange(len(some)), [len(r["at"]) for r in some]), at, np.array([v for r in some for v in r["rate"]], float)
+
+    parts = rows.repartition(PARTS, "at", "rate", "y").sortWithinPartitions("at", "rate", "y").rdd.mapPartitionsWithIndex(packed).coalesce(PARTS).persist()
+
+    def slope(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = sc.broadcast(w)
+
+        def one(part: tuple) -> tuple[int, float, np.ndarray, np.ndarray]:
+            i, y, n, row, at, rates = part
+            v = sent.value
+            z = v[-1] + np.bincount(row, v[at] + v[k + at] * rates, minlength=len(y))
+            r = n * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+            g = np.concatenate([np.bincount(at, r[row], minlength=k), np.bincount(at, r[row] * rates, minlength=k), [r.sum()]])
+            there = np.flatnonzero(g)
+            return i, float((n * (np.logaddexp(0, z) - y * z)).sum()), there, g[there]
+
+        value, g = 0.0, np.zeros(2 * k + 1)
+        for _, loss, there, some in sorted(parts.map(one).collect(), key=lambda x: x[0]):
+            value += loss
+            g[there] += some
+        sent.unpersist()
+        held = np.append(w[:-1], 0.0)
+        return value / total + ridge / 2 * float(held @ held), g / total + ridge * held
+
+    w = descend(slope, np.append(np.zeros(2 * k), np.log(n1 / n0)))
+    parts.unpersist()
+    there, share = ({f: float(x) for f, x in zip(able, part, strict=True)} for part in (w[:k], w[k : 2 * k]))
+    return Scorer(restorer, there, float(w[-1]), share)
+
+
+def some_rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `size`."""
+    for batch in batches:
+        for lo in range(0, len(batch), size):
+            yield batch.slice(lo, size)
+
+
+def model(rows: DataFrame) -> Restorer:
+    """A language model of the plain words of all `rows` (y, text)."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(2).to_pylist():
-                n.update(threes(Counter(plain_words(t))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["k", "n"])
+        words: Counter = Counter()
 
-    restorer = Restorer.of_threes({r["k"]: r["n"] for r in sample.mapInArrow(learn, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()})
-    every = spark.sparkContext.broadcast(Reader(restorer))
+        def done() -> pa.RecordBatch:
+            n = threes(Counter({w: c for w, c in words.items() if not _RUN.search(w)}))
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["k", "n"])
+
+        for batch in some_rows(batches):
+            for t in batch.column(1).to_pylist():
+                words.update(_WORD.findall(t.lower()))
+            if len(words) > HELD:
+                yield done()
+        yield done()
+
+    return Restorer.of_threes({r["k"]: r["n"] for r in rows.mapInArrow(learn, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()})
+
+
+def told(rows: DataFrame, reader: Reader) -> DataFrame:
+    """f, pos, neg: in how many of all `rows` (y, text) of either class a feature is present."""
+    sent = rows.sparkSession.sparkContext.broadcast(reader)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos, neg = Counter(), Counter()
-        for batch in batches:
-            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (pos if y else neg).update(every.value.count(t)[0].keys())
-        f = sorted(pos.keys() | neg.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([pos[x] for x in f], pa.int64()), pa.array([neg[x] for x in f], pa.int64())], names=["f", "pos", "neg"])
-
-    told = sample.mapInArrow(tell, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, q, m = F.col("pos") / n1, F.col("neg") / n0, (F.col("pos") + F.col("neg")) / (n1 + n0)
-    value = (p - q) / F.sqrt(m * (1 - m) * (1 / n1 + 1 / n0) + 1e-12)
-    best = told.where("pos >= 3").withColumn("worth", value).where("worth > 3").orderBy(F.desc("worth"), "f").limit(most)  # only what toxic texts share can count
-    able = [r["f"] for r in best.collect()]
-    some = spark.sparkContext.broadcast((Reader(restorer, set(able)), {f: k for k, f in enumerate(able)}))
+        n: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def done() -> pa.RecordBatch:
+            f = list(n[0].keys() | n[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([n[1][x] for x in f], pa.int64()), pa.array([n[0][x] for x in f], pa.int64())], names=["f", "pos", "neg"])
+            n[0].clear(), n[1].clear()
+            return out
+
+        for batch in some_rows(batches):
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n[y].update(sent.value.present(t))
+            if len(n[0]) + len(n[1]) > HELD:
+                yield done()
+        yield done()
+
+    return rows.mapInArrow(tell, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def best(rows: DataFrame, restorer: Restorer, n1: int, n0: int, most: int, at_once: int = 150_000) -> list[str]:
+    """The `most` features that best tell y in all `rows` (y, text): with worth over 3, then by worth and name.
+
+    Only what three toxic texts share can count, so those are read first. Then all rows are read for such features, about
+    `at_once` of them in a pass, those in most toxic texts first. The passes end when no feature left could be among the
+    best, even if no other text had it; so the result is that of all features, and what is broadcast has a bound.
+    """
+    from ..session import written
+
+    def worth(pos, neg, root):
+        m = (pos + neg) / (n1 + n0)
+        return (pos / n1 - neg / n0) / root(m * (1 - m) * (1 / n1 + 1 / n0) + 1e-12)
+
+    shared = written(told(rows.where("y = 1"), Reader(restorer)).where("pos >= 3").select("f", "pos"), "toxicity")
+    sizes = sorted((r["pos"], r["count"]) for r in shared.groupBy("pos").count().collect())
+    out: list = []
+    while sizes and not (len(out) == most and worth(sizes[-1][0], 0, np.sqrt) < out[-1]["worth"] - 1e-9):
+        hi, n = sizes[-1][0], 0
+        while sizes and (not n or n + sizes[-1][1] <= at_once):
+            lo, more = sizes.pop()
+            n += more
+        for k in range(parts := -(-n // at_once)):  # more than one if very many share one count
+            some = shared.where(F.col("pos").between(lo, hi)).where(F.pmod(F.xxhash64("f"), F.lit(parts)) == k)
+            got = told(rows, Reader(restorer, {r["f"] for r in some.collect()})).withColumn("worth", worth(F.col("pos"), F.col("neg"), F.sqrt))
+            out += got.where("pos >= 3 and worth > 3").orderBy(F.desc("worth"), "f").limit(most).collect()
+        out = sorted(out, key=lambda r: (-r["worth"], r["f"]))[:most]
+    return [r["f"] for r in out]
+
+
+def fit(rows: DataFrame, n1: int, n0: int, *, most: int = 4000) -> Scorer:
+    """A language model of the plain words of `rows` (y, text), and logistic weights of the `most` features that best tell y.
+
+    All rows are read whole in their tasks, in every step. The driver gets counts of three characters in a row, features, and
+    gradients; rows with equal features count together. `n1` and `n0` are the rows of y 1 and 0.
+    """
+    from ..session import written
+
+    restorer = model(rows)
+    able = best(rows, restorer, n1, n0, most)
+    some = rows.sparkSession.sparkContext.broadcast((Reader(restorer, set(able)), {f: k for k, f in enumerate(able)}))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, at = some.value
-        for batch in batches:
-            for i in range(len(batch)):
-                found, n = reader.count(batch.column(2)[i].as_py())
-                places = sorted(at[f] for f in found)
-                rates = [rate(found[able[k]], n) for k in places]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([places], pa.list_(pa.int32())), pa.array([rates], pa.list_(pa.float64()))], names=["u", "at", "rate"])
+        for batch in some_rows(batches):
+            places, rates = [], []
+            for t in batch.column(1).to_pylist():
+                found, n = reader.count(t)
+                places.append(sorted(at[f] for f in found))
+                rates.append([rate(found[able[k]], n) for k in places[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(rates, pa.list_(pa.float64()))], names=["y", "at", "rate"])
+
+    got = rows.mapInArrow(place, "y int, at array<int>, rate array<double>").groupBy("y", "at", "rate").agg(F.count("*").alias("n"))
+    return weigh(restorer, able, written(got, "toxicity"), n1, n0)
+
 
-    got = sorted(sample.mapInArrow(place, "u long, at array<int>, rate array<double>").collect())
-    return weigh(restorer, able, [dict(zip(r["at"], r["rate"], strict=True)) for r in got], [labels[r["u"]] for r in got])
+#: As many labelled ids at most are sent to the executors; beyond that the join is Spark's choice.
+SENT = 2_000_000
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = 2000) -> Scorer:
-    """A scorer from at most `each` labelled rows of either class, the bound of the sample. Classes count as sampled.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+    """A scorer from all labelled rows. Classes count as they occur, so scores are probabilities at the labels' rate.
 
-    Sampled texts are read whole and don't come to the driver. With one class or none there is nothing to learn: every
+    Texts are read whole and don't come to the driver. With one class or none there is nothing to learn: every
     score is that class's, or 0. An id with both labels counts as 1.
     """
     from ..session import written
 
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    rate = F.when(F.col("y") == 1, min(1.0, 1.5 * each / counts.get(1, 1))).otherwise(min(1.0, 1.5 * each / counts.get(0, 1)))
-    few = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < rate)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").where("text is not null")  # about 3 * each rows
-    rows = written(rows.select(F.monotonically_increasing_id().alias("u"), "id", "y", "text"), "toxicity")
-    chosen = {r["u"]: r["y"] for r in sample_by_class(rows.select("id", "y", "u"), "id", "y", each)}
-    if len(set(chosen.values())) < 2:
-        return Scorer(Restorer(Counter()), {}, 30.0 if set(chosen.values()) == {1} else -30.0)
-    keep = docs.sparkSession.createDataFrame([(u,) for u in chosen], "u long")
-    return fit(rows.join(F.broadcast(keep), "u").select("u", "y", "text"), chosen)
+    known = F.broadcast(labelled) if labelled.count() <= SENT else labelled
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(known, "id").select("y", "text"), "toxicity")
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return Scorer(Restorer(Counter()), {}, 30.0 if 1 in n else -30.0)
+    return fit(rows, n[1], n[0])
 
 
 def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5) -> DataFrame:
@@ -342,11 +479,9 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = tool.value
-        for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
-                found = np.array([s.score(t or "") for t in batch.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for batch in some_rows(batches):
+            found = np.array([s.score(t or "") for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, modulus) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return few.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
