@@ -104,7 +104,7 @@ def _sketch(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in tb.chunks(batch, "text", 2_000_000):
+            for lo, hi, data, off in tb.chunks(batch, "text"):
                 found, rows = shingles(data, off)
                 n = np.bincount(rows, minlength=hi - lo).astype(np.int64)
                 has = np.flatnonzero(n)
@@ -206,7 +206,7 @@ def _sets(bitmap: bytes):
             h = batch.column(0).to_numpy()
             keep = np.flatnonzero((known[h >> 3] >> (h & 7)) & 1)
             few = batch.select(["text"]).take(pa.array(keep))
-            for lo, hi, data, off in tb.chunks(few, "text", 2_000_000):
+            for lo, hi, data, off in tb.chunks(few, "text"):
                 found, rows = shingles(data, off)
                 edge = np.searchsorted(rows, np.arange(hi - lo + 1))
                 tokens = [found[edge[k] : edge[k + 1]].tobytes() for k in range(hi - lo)]

@@ -541,7 +541,7 @@ _TRIGGER[[*range(48, 58), 64]] = True
 
 def _scan(batch: pa.RecordBatch, column: str, tagger: Tagger | None) -> Iterator[tuple[int, int, dict[int, tuple[str, list[Span], list[Span]]]]]:
     """(first row, end row, {row: (text, base spans, all spans)} of rows with digits, @ or spelt addresses); others have no spans."""
-    for lo, hi, data, off in tb.chunks(batch, column, 2_000_000):
+    for lo, hi, data, off in tb.chunks(batch, column):
         marks = _TRIGGER[data]
         marks[[m.start() for m in _SPELT_BYTES.finditer(data)]] = True
         hit = np.flatnonzero(tb.per_row(marks, off))

@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them) of pieces of `batch`; null texts are empty.
 
     A piece has about `most_bytes` at most, or one row. This only bounds memory: every row comes, whole.
@@ -72,7 +72,11 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, stops, row, np.bincount(row, minlength=len(off) - 1)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+#: Bytes that are hashed at once, or one longer run; only so many powers are kept, as workers live on from stage to stage.
+STRETCH = 1 << 18
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = STRETCH) -> np.ndarray:
     """A 64-bit hash of each byte run, from prefix sums of byte * base ** position modulo 2 ** 64.
 
     Starts and stops are sorted. Runs are taken in stretches of about `most` bytes, which bounds memory, not results.
@@ -99,17 +103,21 @@ def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
     return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << n.bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
+    """The first `n` powers of base and inverse at least."""
+    if n <= STRETCH and _POWERS:
+        return _POWERS
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, STRETCH), base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if n <= STRETCH:
+        _POWERS[:] = out
+    return out
 
 
 def windows(word_hash: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
