@@ -1,9 +1,11 @@
 """Restoration against every path of the lattice, and features that don't depend on how a text is disguised."""
 
+import gc
 import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from veilspark.llm import toxicity
@@ -72,3 +74,19 @@ def test_labels_that_clash_count_as_toxic(spark):
     docs = spark.createDataFrame([(k, f"the house {'stupid' if k % 2 else 'small'} letter") for k in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(1, 0), (3, 0), (1, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels).score("stupid") > 0.5
+
+
+def test_doubled_letters_are_restored_without_a_lattice(restorer, monkeypatch):
+    rng = random.Random(21)
+    tokens = ["".join(rng.choice([c, c + c]) for c in rng.choice(WORDS))[:9] for _ in range(200)]
+    tokens = [t for t in tokens if not toxicity._RUN.search(t)]
+    want = [cheapest(restorer, t)[1] for t in tokens]
+    monkeypatch.setattr(toxicity.Restorer, "lattice", None)
+    assert len(tokens) > 150 and all(restorer.restore(t) in w for t, w in zip(tokens, want, strict=True))
+
+
+def test_cycles_are_not_searched_for_while_rows_are_read():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["k"])
+    assert gc.isenabled()
+    assert [(len(b), gc.isenabled()) for b in toxicity.some_rows([batch, batch])] == 2 * [(256, False), (256, False), (88, False)]
+    assert gc.isenabled()

@@ -9,6 +9,7 @@ each counts by being there, and by its share of the text's tokens.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -88,17 +89,43 @@ class Restorer:
             self._options[c, again] = out
         return out
 
+    def _without_doubles(self, token: str) -> str:
+        """`restore` for letters, none three times running: the choices are doubled letters, whose paths meet at the next letter."""
+        out, at, step = "", 0, self.step
+        for m in _TWICE.finditer(token):
+            i = m.end() - 1
+            c, before, after = token[i], token[i - 2] if i > 1 else "^", token[i + 1] if i + 1 < len(token) else "^"
+            if self.drop + step(before + c, after) < step(before + c, c) + step(c + c, after):
+                out, at = out + token[at:i], i + 1
+        return out + token[at:]
+
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         return [self.options(c, i > 0 and c == token[i - 1]) for i, c in enumerate(token)]
 
     def restore(self, token: str) -> str:
-        """The likeliest plain form of a lower-case token; time is linear in its length."""
+        """The likeliest plain form of a lower-case token; time is linear in its length.
+
+        While there is one path only, its cost can't matter: characters before the first choice, and those after the
+        last one once all paths meet, are taken as they are.
+        """
+        if token.isalpha() and not _RUN.search(token):
+            return self._without_doubles(token)
         known, unseen, floor = self.cost.get, self.unseen.get, self.floor
-        states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-        for options in self.lattice(token):
+        lattice = self.lattice(token)
+        open_at = [i for i, options in enumerate(lattice) if len(options) > 1]
+        if not open_at:
+            return "".join([options[0][0] for options in lattice])
+        first, last = open_at[0], open_at[-1]
+        head = "".join([options[0][0] for options in lattice[:first]])
+        rest = ""
+        states: dict[str, tuple[float, tuple | None]] = {f"^^{head}"[-2:]: (0.0, None)}
+        for i in range(first, len(lattice)):
+            if i > last and len(states) == 1:
+                rest = "".join([options[0][0] for options in lattice[i:]])
+                break
             after: dict[str, tuple[float, tuple | None]] = {}
             for context, (cost, path) in states.items():
-                for c, extra in options:
+                for c, extra in lattice[i]:
                     if c:
                         k = context + c
                         step = known(k)
@@ -113,7 +140,7 @@ class Restorer:
         while path:
             out.append(path[0])
             path = path[1]
-        return "".join(reversed(out))
+        return f"{head}{''.join(reversed(out))}{rest}"
 
 
 def disguised(token: str) -> bool:
@@ -343,10 +370,21 @@ def weigh(restorer: Restorer, able: list[str], rows: DataFrame, n1: int, n0: int
 
 
 def some_rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `size`."""
-    for batch in batches:
-        for lo in range(0, len(batch), size):
-            yield batch.slice(lo, size)
+    """The same rows in batches of at most `size`.
+
+    Python's search for cycles waits until a batch of `batches` is read: texts and tokens make none, and it would go through
+    the large tables of readers again and again.
+    """
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        for batch in batches:
+            for lo in range(0, len(batch), size):
+                yield batch.slice(lo, size)
+            gc.collect()
+    finally:
+        if collects:
+            gc.enable()
 
 
 def model(rows: DataFrame) -> Restorer:
