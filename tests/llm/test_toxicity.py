@@ -90,3 +90,44 @@ def test_cycles_are_not_searched_for_while_rows_are_read():
     assert gc.isenabled()
     assert [(len(b), gc.isenabled()) for b in toxicity.some_rows([batch, batch])] == 2 * [(256, False), (256, False), (88, False)]
     assert gc.isenabled()
+
+
+ODD = "abcdeilostllss   \n\t\x1c.,;!?'\"-_*+1|0@$(%#\xa0éßıİñ中\u0301ΣσИ😀𝒜𐌰²½"
+
+
+def test_texts_read_at_once_count_as_one_by_one(restorer):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [" ".join("".join(rng.choice([c, c, c + c, c * 3]) for c in rng.choice(WORDS)) for _ in range(20)) for _ in range(300)]
+    texts += ["", "\n", "x" * 300, "a" * 33 + "b", "i d i o t", "an i-d i-o-t", "y a o", "!" * 500, "stupid..", "stuppid stupid stupiddd"]
+    every = toxicity.Reader(restorer)
+    known = sorted({f for t in texts for f in sorted(every.present(t))[::3]} | set(toxicity.features("stupid")) | set(toxicity.features("idiot")))
+    rng.shuffle(known)
+    got = []
+    for lo, n, row, place, times in toxicity.Reader(restorer, known).found(texts):
+        assert lo == len(got)
+        some = [({}, x) for x in n.tolist()]
+        for r, p, k in zip(row.tolist(), place.tolist(), times.tolist(), strict=True):
+            some[r][0][known[p]] = k
+        got += some
+    one = toxicity.Reader(restorer, set(known))
+    assert got == [one.count(t) for t in texts] and sum(map(len, (f for f, _ in got))) > 5000
+
+
+def test_tokens_of_letters_are_not_read_one_by_one(restorer, monkeypatch):
+    s = toxicity.Scorer(restorer, {"idiot$": 5.0, "stup": 3.0}, -2.0)
+    rng, slow = random.Random(2), []
+    found = toxicity.Reader._found
+    monkeypatch.setattr(toxicity.Reader, "_found", lambda self, token: slow.append(token) or found(self, token))
+    words = ["".join(rng.choice("abdeilmnorst") for _ in range(rng.randrange(2, 12))) for _ in range(500)]
+    words = [w for w in words if not toxicity._RUN.search(w)]
+    assert s.score(" ".join([*words, "well,", "1d!ot"])) == s.score(" ".join([*words, "well,", "idiot"])) > 0.9
+    assert set(slow) == {"1d!ot"}
+
+
+def test_threes_of_many_texts_are_those_of_their_words(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["", "aaa bb", "brrr is 𝒜b 😀ab"]
+    want = toxicity.threes(Counter(w for t in texts for w in toxicity.plain_words(t)))
+    rows = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "y int, text string")
+    assert toxicity.model(rows).cost == toxicity.Restorer.of_threes(want).cost

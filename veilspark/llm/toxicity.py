@@ -12,7 +12,7 @@ from __future__ import annotations
 import gc
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from operator import eq
 
 import numpy as np
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .training import remainder
+from .units import LONGEST, Places, Units, kinds, pieces, summed, word_keys
 
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "o"}
 SEPARATORS = ".-_*~'/ ,:;+"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_ONE = r"(?:[^\W_]|[@$!€£¡#%(])"
+_ONES = "@$!€£¡#%("
+_ONE = rf"(?:[^\W_]|[{_ONES}])"
 _SPACED = re.compile(rf"(?<![^\W_])(?=[^\s]){_ONE}(?:[\s{re.escape(SEPARATORS)}]++{_ONE}){{2,}}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -89,13 +91,17 @@ class Restorer:
             self._options[c, again] = out
         return out
 
+    def single(self, before: str, c: str, after: str) -> bool:
+        """Whether `c` costs less once than twice between two other letters."""
+        return self.drop + self.step(before + c, after) < self.step(before + c, c) + self.step(c + c, after)
+
     def _without_doubles(self, token: str) -> str:
         """`restore` for letters, none three times running: the choices are doubled letters, whose paths meet at the next letter."""
-        out, at, step = "", 0, self.step
+        out, at = "", 0
         for m in _TWICE.finditer(token):
             i = m.end() - 1
             c, before, after = token[i], token[i - 2] if i > 1 else "^", token[i + 1] if i + 1 < len(token) else "^"
-            if self.drop + step(before + c, after) < step(before + c, c) + step(c + c, after):
+            if self.single(before, c, after):
                 out, at = out + token[at:i], i + 1
         return out + token[at:]
 
@@ -166,15 +172,18 @@ def outline(token: str) -> str:
 class Reader:
     """Counts a text's features in its restored tokens: those in `known`, or all if that is None.
 
-    With `known`, a token is only decoded if a path of its lattice may have a known feature (by `outline`).
+    With `known`, a token is only decoded if a path of its lattice may have a known feature (by `outline`). `found` reads
+    many texts at once and gives places in `names`, which are `known` in their order if they have one.
     """
 
-    def __init__(self, restorer: Restorer, known: set[str] | None = None, size: int = 150_000):
-        self.restorer, self.known, self.size = restorer, known, size
-        self._memo = None
+    def __init__(self, restorer: Restorer, known: Collection[str] | None = None, size: int = 150_000):
+        self.restorer, self.size = restorer, size
+        self.names = known if isinstance(known, list) else sorted(known or ())
+        self.known = None if known is None else set(known)
+        self._memo = self._places = None
 
     def __getstate__(self):
-        return {"restorer": self.restorer, "known": self.known, "size": self.size, "_memo": None}
+        return {"restorer": self.restorer, "known": self.known, "names": self.names, "size": self.size, "_memo": None, "_places": None}
 
     def _ready(self) -> None:
         self._memo, self._old, self._blank = {}, {}, set()  # tokens' features, of late and before, `size` each; up to 3 * `size` tokens without any
@@ -185,11 +194,15 @@ class Reader:
         self._fours = {f[:4] for f in known if not f.endswith("$")}
         self._sizes = sorted({len(f) for f in self._begins})
         self._thirds = {o[:3] for o in self._words | self._begins}
+        self._heads = {o[:n] for o in self._words | self._begins for n in range(9)}
         self._short = any(len(o) < 3 for o in self._thirds)
 
     def _may(self, token: str) -> bool:
-        if self.known is None or _OPEN.search(token):
+        if self.known is None:
             return True
+        if m := _OPEN.search(token):  # all paths begin as the letters before it
+            o = outline(token[: m.start()])
+            return o[:8] in self._heads or any(o[:n] in self._begins for n in self._sizes)
         o = _MANY.sub(r"\1", token.replace("l", "i")) if token.isalpha() else outline(token)
         if not self._short and o[:3] not in self._thirds:
             return False
@@ -277,24 +290,109 @@ class Reader:
         return out, len(tokens)
 
 
+    def _placed(self) -> None:
+        """Tables of the known features that a token of letters only may have, by keys of their units."""
+        self._kinds, self._loses = kinds(_STOPS, _ONES, SEPARATORS), {}
+        self._place = {f: k for k, f in enumerate(self.names)}
+        keys, at = [], []
+        for word in (True, False):
+            some = [(f[:-1] if word else f, k) for k, f in enumerate(self.names) if f.endswith("$") == word]
+            some = [(f, k) for f, k in some if f.isalpha() and max(f) < "\uffff" and len(f) <= (LONGEST if word else 8) and (word or len(f) >= 4)]
+            sizes, where = np.array([len(f) for f, _ in some], np.int64), np.array([k for _, k in some], np.int32)
+            units = Units([f for f, _ in some], self._kinds)
+            if not some:
+                continue
+            *begins, words = word_keys(units.u, units.bounds[:-1], sizes)
+            for n, (which, got) in zip((LONGEST,) if word else range(4, 9), [words] if word else begins, strict=False):
+                whole = np.ones(len(which), bool) if word else sizes[which] == n
+                keys.append(got[whole])
+                at.append(where[which[whole]])
+        self._at = np.concatenate([np.zeros(0, np.int32), *at])
+        self._places = Places(np.concatenate([np.zeros(0, np.uint64), *keys]))
+
+    def _single(self, units: Units, token: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The restored words of those tokens of letters that lose any: units, starts, sizes, tokens, and for each how many letters come before the first loss."""
+        at, which, around = units.doubles(starts, ends)
+        codes, back = np.unique(around, return_inverse=True)
+        if len(self._loses) > self.size:
+            self._loses.clear()
+        loses = np.zeros(len(codes), bool)
+        for k, code in enumerate(codes.tolist()):
+            if code not in self._loses:
+                self._loses[code] = self.restorer.single(*(chr(code >> by & 0xFFFF) for by in (16, 32, 0)))
+            loses[k] = self._loses[code]
+        lost = loses[back]
+        at, which = at[lost], which[lost]
+        kept = np.ones(len(units.u), bool)
+        kept[at] = False
+        which, first, n = np.unique(which, return_index=True, return_counts=True)
+        return units.u[kept], starts[which] - first, ends[which] - starts[which] - n, token[which], at[first] - starts[which]
+
+    def found(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What `count` gives for each text, for some texts at a time: (first text, each one's tokens, then, sorted, texts and places of the features in them, and how often).
+
+        Tokens of letters only, none three times running, are looked up all at once, as they are and without the doubled letters
+        that cost more; the others are read one by one.
+        """
+        if self._places is None:
+            self._placed()
+        for lo, hi in pieces(texts):
+            low = [t.lower() for t in texts[lo:hi]]
+            units = Units(low, self._kinds)
+            starts, ends, plain, row = units.tokens()
+            sizes = ends - starts
+            plain &= sizes <= LONGEST
+            rows, places = [], []
+            at = np.flatnonzero(plain)
+            for u, begins, lengths, token, over in ((units.u, starts[at], sizes[at], at, 0), self._single(units, at, starts[at], ends[at])):
+                for which, keys in word_keys(u, begins, lengths, over):
+                    there, place = self._places.find(keys)
+                    rows.append(row[token[which[there]]])
+                    places.append(self._at[place])
+            other = np.flatnonzero(~plain & (sizes > 0))
+            tokens = [units.text(a, b) for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
+            hits = {t: [self._place[f] for f in some] for t, some in self._hits(tokens).items()}
+            in_rows, found = [], []
+            for t, r in zip(tokens, row[other].tolist(), strict=True):
+                if t in hits:
+                    in_rows += [r] * len(hits[t])
+                    found += hits[t]
+            for r in units.apart():
+                for some in self._apart(low[r]):
+                    in_rows += [r] * len(some)
+                    found += [self._place[f] for f in some]
+            k = max(1, len(self.names))
+            kind = np.int32 if k * len(low) < 1 << 31 else np.int64
+            pairs = np.concatenate([*rows, np.array(in_rows, np.int64)]).astype(kind) * kind(k) + np.concatenate([*places, np.array(found, np.int32)]).astype(kind)
+            pairs.sort()
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+            times, pairs = np.diff(np.append(first, len(pairs))), pairs[first]
+            in_row = pairs // kind(k)
+            yield lo, np.bincount(row, minlength=len(low)), in_row, pairs - in_row * kind(k), times
+
+
 class Scorer:
     """`weights` of a feature's presence, `shares` of its rate, and a bias; `score` is the logistic function of the sum."""
 
     def __init__(self, restorer: Restorer, weights: dict[str, float], bias: float, shares: dict[str, float] | None = None):
         self.weights, self.shares, self.bias = weights, shares or {}, bias
         self.reader = Reader(restorer, set(weights))
+        self._weight, self._share = (np.array([of.get(f, 0.0) for f in self.reader.names]) for of in (self.weights, self.shares))
+
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for lo, n, row, place, times in self.reader.found(texts):
+            z = self.bias + np.bincount(row, self._weight[place] + self._share[place] * rate(times, n[row]), minlength=len(n))
+            out[lo : lo + len(n)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return out
 
     def score(self, text: str) -> float:
-        found, n = self.reader.count(text)
-        z = self.bias
-        for f in sorted(found):
-            z += self.weights[f] + self.shares.get(f, 0.0) * rate(found[f], n)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.scores([text])[0])
 
 
-def rate(count: int, tokens: int) -> float:
+def rate(count, tokens):
     """How much of a text a feature is, 0 to about 6.7: log2 of 1 + occurrences in a hundred tokens."""
-    return float(np.log2(1 + 100 * count / max(tokens, count, 1)))
+    return np.log2(1 + 100 * count / np.maximum(np.maximum(tokens, count), 1))
 
 
 #: Parts of the rows' features, each summed in a fixed order, so that reruns agree; and entries of a task's counts.
@@ -392,16 +490,32 @@ def model(rows: DataFrame) -> Restorer:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        codes, n = [], []
 
         def done() -> pa.RecordBatch:
-            n = threes(Counter({w: c for w, c in words.items() if not _RUN.search(w)}))
+            out = threes(words)
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["k", "n"])
+            if codes:
+                each, times = summed(codes, n)
+                codes.clear(), n.clear()
+                out.update({"".join(map(chr, k)): x for k, x in zip(np.stack([each >> np.uint64(32), each >> np.uint64(16) & np.uint64(0xFFFF), each & np.uint64(0xFFFF)], 1).tolist(), times.tolist(), strict=True)})
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["k", "n"])
 
         for batch in some_rows(batches):
-            for t in batch.column(1).to_pylist():
-                words.update(_WORD.findall(t.lower()))
-            if len(words) > HELD:
+            texts = [t.lower() for t in batch.column(1).to_pylist()]
+            for lo, hi in pieces(texts):
+                some = Units(texts[lo:hi], kinds(_STOPS, _ONES, SEPARATORS))
+                wide = {i for i in some.wide if any(c > "\uffff" and c.isalnum() for c in texts[lo + i])}
+                for i in wide:
+                    words.update(plain_words(texts[lo + i]))
+                if wide:
+                    some = Units([t for i, t in enumerate(texts[lo:hi]) if i not in wide], kinds(_STOPS, _ONES, SEPARATORS))
+                each, times = some.threes()
+                codes.append(each)
+                n.append(times)
+                if sum(map(len, codes)) > HELD:
+                    codes[:], n[:] = ([x] for x in summed(codes, n))
+            if len(words) > HELD or codes and len(codes[0]) > HELD:
                 yield done()
         yield done()
 
@@ -412,6 +526,18 @@ def told(rows: DataFrame, reader: Reader) -> DataFrame:
     """f, pos, neg: in how many of all `rows` (y, text) of either class a feature is present."""
     sent = rows.sparkSession.sparkContext.broadcast(reader)
 
+    def tell_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sent.value.names
+        n = np.zeros((2, len(names)), np.int64)
+        for batch in some_rows(batches):
+            y = batch.column(0).to_numpy()
+            for lo, _, row, place, _ in sent.value.found(batch.column(1).to_pylist()):
+                of = y[lo + row]
+                for k in (0, 1):
+                    n[k] += np.bincount(place[of == k], minlength=len(names))
+        there = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in there.tolist()], pa.string()), pa.array(n[1][there]), pa.array(n[0][there])], names=["f", "pos", "neg"])
+
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -428,7 +554,7 @@ def told(rows: DataFrame, reader: Reader) -> DataFrame:
                 yield done()
         yield done()
 
-    return rows.mapInArrow(tell, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInArrow(tell if reader.known is None else tell_known, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def best(rows: DataFrame, restorer: Restorer, n1: int, n0: int, most: int, at_once: int = 150_000) -> list[str]:
@@ -470,17 +596,14 @@ def fit(rows: DataFrame, n1: int, n0: int, *, most: int = 4000) -> Scorer:
 
     restorer = model(rows)
     able = best(rows, restorer, n1, n0, most)
-    some = rows.sparkSession.sparkContext.broadcast((Reader(restorer, set(able)), {f: k for k, f in enumerate(able)}))
+    some = rows.sparkSession.sparkContext.broadcast(Reader(restorer, able))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, at = some.value
         for batch in some_rows(batches):
-            places, rates = [], []
-            for t in batch.column(1).to_pylist():
-                found, n = reader.count(t)
-                places.append(sorted(at[f] for f in found))
-                rates.append([rate(found[able[k]], n) for k in places[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(rates, pa.list_(pa.float64()))], names=["y", "at", "rate"])
+            for lo, n, row, place, times in some.value.found(batch.column(1).to_pylist()):
+                ends = pa.array(np.cumsum(np.append(0, np.bincount(row, minlength=len(n)))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(place.astype(np.int32)), pa.array(rate(times, n[row])))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), *lists], names=["y", "at", "rate"])
 
     got = rows.mapInArrow(place, "y int, at array<int>, rate array<double>").groupBy("y", "at", "rate").agg(F.count("*").alias("n"))
     return weigh(restorer, able, written(got, "toxicity"), n1, n0)
@@ -518,7 +641,7 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = tool.value
         for batch in some_rows(batches):
-            found = np.array([s.score(t or "") for t in batch.column(2).to_pylist()])
+            found = s.scores([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, modulus) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
