@@ -89,28 +89,54 @@ TEMPLATES: dict[str, list[list]] = {
 }
 
 
-def _spans(corpus: str, side: int) -> list[tuple[int, str, str, str]]:
-    """(template, type, SQL of the start, SQL of the end) of gold (0) or found (1) spans."""
+def _places(corpus: str, side: int) -> list[tuple[int, str, int, int]]:
+    """(template, type, parts before the start, parts up to the end) of gold (0) or found (1) spans."""
     out = []
     for t, parts in enumerate(TEMPLATES[corpus]):
-        before: list[str] = []
-        for p in parts:
-            kind, sql = (p[side], p[2]) if isinstance(p, tuple) else (None, p)
-            lo = f"cast(length(concat({', '.join(before)})) as int)" if before else "0"
-            before.append(sql)
-            hi = f"cast(length(concat({', '.join(before)})) as int)"
+        for k, p in enumerate(parts):
+            kind = p[side] if isinstance(p, tuple) else None
             if kind and kind.startswith("+"):
-                out[-1] = (*out[-1][:3], hi)
+                out[-1] = (*out[-1][:3], k + 1)
             elif kind:
-                out.append((t, kind, lo, hi))
+                out.append((t, kind, k, k + 1))
     return out
 
 
+def _sql(part: str | tuple) -> str:
+    return part[2] if isinstance(part, tuple) else part
+
+
+def _spans(corpus: str, side: int) -> list[tuple[int, str, str, str]]:
+    """(template, type, SQL of the start, SQL of the end) of gold (0) or found (1) spans."""
+
+    def at(t: int, k: int) -> str:
+        return f"cast(length(concat({', '.join(map(_sql, TEMPLATES[corpus][t][:k]))})) as int)" if k else "0"
+
+    return [(t, kind, at(t, i), at(t, j)) for t, kind, i, j in _places(corpus, side)]
+
+
+def in_one_pass(corpus: str) -> str:
+    """docs (doc_id, text, gold), gold an array of (type, start, end), of every customer, for Spark; prepend WITH.
+
+    The texts and gold spans of `ctes`, whose SQL reads the customers, and joins them with themselves, once for every span of
+    a template. Customer keys are unique.
+    """
+    base = f"base AS (SELECT *, substring(nir, 1, 13) AS nir13, cast(floor(k / 2) as bigint) % {len(TEMPLATES[corpus])} AS template FROM ids WHERE k IS NOT NULL)"
+    parts = " ".join(f"when {t} then array({', '.join(map(_sql, p))})" for t, p in enumerate(TEMPLATES[corpus]))
+    by: dict[int, list[str]] = {}
+    for t, kind, i, j in _places(corpus, 0):
+        by.setdefault(t, []).append(f"named_struct('type', '{kind}', 'i', {i}, 'j', {j})")
+    places = " ".join(f"when {t} then array({', '.join(p)})" for t, p in by.items())
+    at = "cast(length(array_join(slice(parts, 1, {}), '')) as int)".format
+    gold = f"transform(case template {places} end, g -> named_struct('type', g.type, 'start', {at('g.i')}, 'end', {at('g.j')}))" if by else "cast(null as array<struct<type:string,start:int,`end`:int>>)"
+    return f"{IDS}, {base}, pieces AS (SELECT k, template, case template {parts} end AS parts FROM base), docs AS (SELECT k AS doc_id, array_join(parts, '') AS text, {gold} AS gold FROM pieces)"
+
+
 def ctes(corpus: str) -> str:
     """docs (doc_id, text), gold and found (doc_id, type, start_at, end_at) of every customer; prepend WITH."""
     n = len(TEMPLATES[corpus])
     base = f"base AS (SELECT i.*, c.nir13, cast(floor(i.k / 2) as bigint) % {n} AS template FROM ids i JOIN ids0 c ON i.k = c.k)"
-    whole = " ".join(f"when {t} then concat({', '.join(p[2] if isinstance(p, tuple) else p for p in parts)}, '')" for t, parts in enumerate(TEMPLATES[corpus]))
+    whole = " ".join(f"when {t} then concat({', '.join(map(_sql, parts))}, '')" for t, parts in enumerate(TEMPLATES[corpus]))
 
     def rows(side: int) -> str:
         each = [f"SELECT k AS doc_id, '{kind}' AS type, {lo} AS start_at, {hi} AS end_at FROM base WHERE template = {t}" for t, kind, lo, hi in _spans(corpus, side)]

@@ -19,17 +19,22 @@ from ..session import shared_dir, table, tracked, written
 from ..sources import dimensions, documents
 from . import annotated
 from . import corpus_sql as sql
-from .catalogue import _CASE_SQL, _DIMS, _cases, _dim, corpus, from_customers, query, spans
+from .catalogue import _CASE_SQL, _DIMS, _cases, _dim, corpus, customers, from_customers, query, spans
 
 # == detection on annotated corpora ==
 
 
 def _docs(spark, sf_dir, name: str) -> DataFrame:
-    return written(from_customers(spark, sf_dir, annotated.ctes(name), "SELECT * FROM docs"), "annotated")
+    """(doc_id, text, gold), written once."""
+    return written(from_customers(spark, sf_dir, annotated.in_one_pass(name), "SELECT * FROM docs"), "annotated")
+
+
+def _gold(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode("gold").alias("g")).select("doc_id", "g.type", "g.start", "g.end")
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    return spans(d.detect(docs)).select("doc_id", "type", F.col("start_at").alias("start"), F.col("end_at").alias("end"))
+    return spans(d.detect(docs.select("doc_id", "text"))).select("doc_id", "type", F.col("start_at").alias("start"), F.col("end_at").alias("end"))
 
 
 def _spans_query(name: str):
@@ -41,8 +46,8 @@ def _spans_query(name: str):
 
 def _scores_query(name: str):
     def run(spark, sf_dir):
-        gold = from_customers(spark, sf_dir, annotated.ctes(name), "SELECT doc_id, type, start_at AS start, end_at AS `end` FROM gold")
-        s = ev.score(gold, _found(_docs(spark, sf_dir, name)))
+        docs = _docs(spark, sf_dir, name)
+        s = ev.score(_gold(docs), _found(docs))
         return s.select("type", "n_gold", "n_pred", "strict_tp", *(F.round(f"strict_{m}", 6).alias(f"strict_{m}") for m in ("precision", "recall", "f1")), F.round("leak_rate", 6).alias("leak_rate"))
 
     return run
@@ -68,7 +73,7 @@ for _name in annotated.TEMPLATES:
 @query("annotated_masked", f"WITH {annotated.ctes('realistic')} SELECT doc_id, count(*) AS n_entities, count(DISTINCT type)::BIGINT AS n_types FROM found GROUP BY doc_id")
 def annotated_masked(spark, sf_dir):
     """Texts with several entities restore exactly, and their entities are counted by type."""
-    out = ps.redact(_docs(spark, sf_dir, "realistic"))
+    out = ps.redact(_docs(spark, sf_dir, "realistic").select("doc_id", "text"))
     exact = out.where(ps.restored(F.col("masked"), F.col("mapping")) == F.col("text"))
     return exact.select("doc_id", F.size("entities").cast("bigint").alias("n_entities"), F.size(report.type_counts(F.col("entities"))).cast("bigint").alias("n_types"))
 
@@ -79,8 +84,8 @@ def annotated_masked(spark, sf_dir):
 )
 def siren_collisions(spark, sf_dir):
     """Company numbers that are taken for establishment numbers: every false positive of the structural corpus."""
-    gold = from_customers(spark, sf_dir, annotated.ctes("structural"), "SELECT doc_id, type, start_at AS start FROM gold")
-    bad = _found(_docs(spark, sf_dir, "structural")).join(gold, ["doc_id", "type", "start"], "left_anti")
+    docs = _docs(spark, sf_dir, "structural")
+    bad = _found(docs).join(_gold(docs), ["doc_id", "type", "start"], "left_anti")
     return bad.groupBy("type").agg(F.count(F.lit(1)).alias("n_false"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -91,8 +96,7 @@ def siren_collisions(spark, sf_dir):
 def first_missed_names(spark, sf_dir):
     """The first twenty names that are missed or found in part (here: missed)."""
     docs = _docs(spark, sf_dir, "adversarial")
-    gold = from_customers(spark, sf_dir, annotated.ctes("adversarial"), "SELECT doc_id, type, start_at AS start, end_at AS `end` FROM gold")
-    return report.first_examples(docs, gold, _found(docs), "nom").select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "fragment")
+    return report.first_examples(docs, _gold(docs), _found(docs), "nom").select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "fragment")
 
 
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -141,7 +145,7 @@ def _archives(spark, sf_dir, kind: str) -> DataFrame:
                 out.append(buffer.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"notes.{'odt' if kind == 'odt' else 'docx'}"] * len(out)), pa.array(out, pa.binary())], names=["k", "path", "content"])
 
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(run, "k long, path string, content binary")
+    return customers(spark, sf_dir, "c_custkey", "c_name").mapInArrow(run, "k long, path string, content binary")
 
 
 @query("ingest_docx", "SELECT c_custkey AS k, 'text' AS status, concat(c_name, ' & éA<', chr(9), 'x', chr(10), 'fin', chr(10)) AS text FROM customer")

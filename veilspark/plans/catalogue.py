@@ -12,7 +12,7 @@ from ..operators import detect as d
 from ..operators import evaluate as ev
 from ..operators import pseudonymize as ps
 from ..operators import risk
-from ..session import table, written
+from ..session import spread, table, written
 from ..sources import dimensions, documents
 from . import corpus_sql as sql
 
@@ -30,10 +30,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the customer table, its rows dealt over tasks: few bytes, of which whole texts are made."""
+    return spread(table(spark, sf_dir, "customer").select(*columns or ("c_custkey",)))
+
+
 def from_customers(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
-    """A SELECT over the shared common table expressions, on the customer table."""
+    """A SELECT over the shared common table expressions, on the customer table's keys."""
     body = f"WITH {ctes.replace('FROM customer', 'FROM {customer}')} {select}"
-    return spark.sql(body, customer=table(spark, sf_dir, "customer"))
+    return spark.sql(body, customer=customers(spark, sf_dir))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +358,7 @@ def _cases(spark, sf_dir, kind: str) -> DataFrame:
     else:
         jobs = ["01", "11", "14", "pharmacien", "sage-femme", "TOUTE_SPECIALITE", "PROFESSIONNEL_DE_SANTE", "99"]
         other = F.struct(F.lit("profession").alias("type"), F.get(F.array(*map(F.lit, jobs)), (k % len(jobs)).cast("int")).alias("value"), F.lit(0).alias("level"))
-    return table(spark, sf_dir, "customer").select(k.alias("case_id"), F.array(other, place).cast(f"array<{risk.QI}>").alias("qis"))
+    return customers(spark, sf_dir).select(k.alias("case_id"), F.array(other, place).cast(f"array<{risk.QI}>").alias("qis"))
 
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in sorted(r[0] for r in dimensions.sample_rows()["communes"])) + "]"
@@ -573,7 +578,7 @@ def ingest_formats(spark, sf_dir):
     raw = F.encode("c_name", "UTF-8")
     content = F.when(k % 5 == 0, raw).when(k % 5 == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(k % 5 == 2, F.concat(F.encode(F.lit("%PDF"), "UTF-8"), raw)).when(k % 5 == 3, raw).otherwise(F.encode(F.lit(""), "UTF-8"))
     name = F.when(k % 5 == 3, F.lit("notes")).when(k % 5 == 1, F.lit("dir.x/notes.MD")).otherwise(F.lit("notes.txt"))
-    files = table(spark, sf_dir, "customer").select(k.alias("k"), name.alias("path"), content.alias("content"))
+    files = customers(spark, sf_dir, "c_custkey", "c_name").select(k.alias("k"), name.alias("path"), content.alias("content"))
     return documents.ingest(files).select("k", F.col("ingested.status").alias("status"), F.col("ingested.text").alias("text"))
 
 
@@ -586,7 +591,7 @@ def stream_redact(spark, sf_dir):
     from ..streaming.redaction import redact_folder
 
     at = tracked(f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
-    corpus(spark, sf_dir).select("doc_id", "text").write.parquet(f"{at}/in")
+    from_customers(spark, sf_dir, sql.CORPUS, "SELECT doc_id, text FROM corpus").write.parquet(f"{at}/in")
     redact_folder(spark, f"{at}/in", "doc_id bigint, text string", f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "masked")
 
@@ -651,7 +656,7 @@ def third_party_filter(spark, sf_dir):
 @query("ingest_base64", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'text' ELSE 'refused' END AS status, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS text FROM customer")
 def ingest_base64(spark, sf_dir):
     k = F.col("c_custkey")
-    up = table(spark, sf_dir, "customer").select(k.alias("k"), F.lit("a.txt").alias("filename"), F.when(k % 2 == 0, F.base64(F.encode("c_name", "UTF-8"))).otherwise("%%%").alias("bytes"))
+    up = customers(spark, sf_dir, "c_custkey", "c_name").select(k.alias("k"), F.lit("a.txt").alias("filename"), F.when(k % 2 == 0, F.base64(F.encode("c_name", "UTF-8"))).otherwise("%%%").alias("bytes"))
     return documents.from_base64(up).select("k", F.col("ingested.status").alias("status"), F.col("ingested.text").alias("text"))
 
 
