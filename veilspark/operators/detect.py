@@ -12,7 +12,9 @@ from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,12 +226,60 @@ def resolved(entities: list[dict]) -> list[dict]:
     return kept
 
 
+#: Lists of at most so many entities are resolved side by side: the first of every list, then the second, and so on.
+_FEW, _FAR = 16, 1 << 40
+
+
+def _ranks(col: pa.Array, rank: Callable[[list], list[int]]) -> np.ndarray:
+    """Whole numbers for the values of a column, as `rank` gives them for its distinct values; -1 for null."""
+    coded = col.dictionary_encode()
+    return np.array([*rank(coded.dictionary.to_pylist()), -1])[coded.indices.fill_null(-1).to_numpy()]
+
+
+def resolved_lists(col: pa.Array) -> pa.Array:
+    """`resolved` of each list. Long lists and those with odd values (empty spans, NaN) go one by one, others all at once."""
+    flat, size = col.flatten(), pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+    start, end, sure, tier, kind = (flat.field(k) for k in ("start", "end", "confidence", "tier", "type"))
+    if flat.null_count or any(x.null_count for x in (start, end, sure, kind)):
+        return pa.array([x and resolved(x) for x in col.to_pylist()], _KIND)
+    start, end, sure = start.to_numpy().astype("int64"), end.to_numpy().astype("int64"), sure.to_numpy()
+    row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    odd = size > _FEW
+    odd[row[(end <= start) | np.isnan(sure)]] = True
+    at = np.flatnonzero(~odd[row])
+    keys = (_ranks(kind, lambda v: np.argsort(np.argsort(np.array(v, object)))), start, -_ranks(tier, lambda v: [TIERS.get(t, -1) for t in v]), -sure, start - end, row)
+    order = at[np.lexsort([k[at] for k in keys])]
+    few = np.flatnonzero(~odd)
+    few = few[np.argsort(-size[few], kind="stable")]  # lists with a k-th entity stand before those without
+    begin = (np.cumsum(size * ~odd) - size)[few]
+    lo, hi = np.zeros((2, len(few), _FEW), "int64")
+    keep = np.zeros(len(row), bool)
+    for k in range(int(size[few].max(initial=0))):
+        n = int(np.searchsorted(-size[few], -k))
+        e = order[begin[:n] + k]
+        a, b = start[e], end[e]
+        keep[e] = ok = ~((lo[:n, :k] < b[:, None]) & (a[:, None] < hi[:n, :k])).any(1)
+        lo[:n, k], hi[:n, k] = np.where(ok, a, _FAR), np.where(ok, b, -_FAR)  # what isn't kept overlaps nothing
+    taken = [np.flatnonzero(keep)]
+    place = [start[taken[0]]]
+    for i in map(int, np.flatnonzero(odd)):
+        entities = col[i].as_py()
+        index = {id(e): first[i] + j for j, e in enumerate(entities)}
+        taken.append(np.array([index[id(e)] for e in resolved(entities)], "int64"))
+        place.append(np.arange(len(taken[-1])))
+    taken = np.concatenate(taken)
+    taken = taken[np.lexsort((np.concatenate(place), row[taken]))]
+    offsets = np.append(0, np.cumsum(np.bincount(row[taken], minlength=len(size)))).astype("int32")
+    values = pa.StructArray.from_arrays([flat.field(f.name).take(pa.array(taken)) for f in _KIND.value_type], fields=list(_KIND.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(col.is_null().to_numpy(zero_copy_only=False), False)), values)
+
+
 def resolve_overlaps(entities: Column) -> Column:
     """`resolved` as a column; only arrays of several entities leave the JVM."""
 
     @F.arrow_udf(ENTITY)
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([x and resolved(x) for x in col.to_pylist()], _KIND)
+        return resolved_lists(col)
 
     return F.when(F.size(entities) > 1, run.asNondeterministic()(F.when(F.size(entities) > 1, entities))).otherwise(entities)
 

@@ -204,7 +204,8 @@ _CANDIDATES = """cand AS (
     SELECT doc_id, k.j AS j, k.a AS start_at, k.b AS end_at FROM last""",
 )
 def resolve_overlaps(spark, sf_dir):
-    rows = spark.sql("WITH " + _CANDIDATES + " SELECT * FROM cand", orders=table(spark, sf_dir, "orders"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100_000, ("o_orderkey",))  # so that orders are shuffled, not their candidates
+    rows = spark.sql("WITH " + _CANDIDATES + " SELECT * FROM cand", orders=orders)
     e = F.struct(F.concat(F.lit("t"), "j").alias("type"), F.col("start_at").alias("start"), F.col("end_at").alias("end"), F.col("j").cast("string").alias("value"), "confidence", "tier")
     kept = rows.groupBy("doc_id").agg(F.collect_list(e).alias("c")).select("doc_id", d.resolve_overlaps(F.col("c")).alias("entities"))
     return spans(kept).select("doc_id", F.col("value").cast("int").alias("j"), "start_at", "end_at")

@@ -13,15 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, rows: int = 16_384) -> DataFrame:
-    """`df` dealt evenly over tasks of at most `rows` rows, and over all cores if it has 500 rows a core.
+def spread(df: DataFrame, rows: int = 16_384, by: tuple[str, ...] = ()) -> DataFrame:
+    """`df` dealt evenly over tasks of at most `rows` rows, and over all cores if it has 500 rows a core; `by` keys if given.
 
     Spark cuts tables by bytes and never within a row group: a small file whose rows become texts is one task however many
     rows it has. Deal out keys, before what is made of them.
     """
     n = df.count()  # of a Parquet table: read from footers
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, -(-n // rows), min(cores, n // 500)))
+    return df.repartition(max(1, -(-n // rows), min(cores, n // 500)), *by)
 
 
 def shared_dir(spark: SparkSession) -> str:
