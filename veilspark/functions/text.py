@@ -12,6 +12,7 @@ SPAN = "array<struct<start:int,`end`:int,value:string>>"
 
 
 _BLOCK = 256
+_MARK = "'\\u001f'"
 
 
 def _of(value: Column, sql: str) -> Column:
@@ -39,7 +40,9 @@ def _sums_before(sizes: str) -> str:
 
 def _find(t: str, pattern: str, gate: str) -> str:
     p = _quoted(pattern)
-    steps = f"transform(array(regexp_extract_all({t}, {p}, 0)), m -> zip_with(slice(transform(split({t}, {p}, -1), g -> length(g)), 1, size(m)), m, (g, w) -> named_struct('gap', g, 'value', w)))[0]"
+    # `split` compiles its pattern for every text, the others once; by one character it needs none
+    gaps = f"CASE WHEN contains({t}, {_MARK}) THEN split({t}, {p}, -1) ELSE split(regexp_replace({t}, {p}, {_MARK}), {_MARK}, -1) END"
+    steps = f"transform(array(regexp_extract_all({t}, {p}, 0)), m -> zip_with(slice(transform({gaps}, g -> length(g)), 1, size(m)), m, (g, w) -> named_struct('gap', g, 'value', w)))[0]"
     sums = _sums_before("transform(st, q -> q.gap + length(q.value))")
     found = f"transform(array({steps}), st -> zip_with(st, {sums}, (q, z) -> named_struct('start', z + q.gap, 'end', z + q.gap + length(q.value), 'value', q.value)))[0]"
     return f"CASE WHEN {t} RLIKE {_quoted(gate)} THEN {found} ELSE cast(array() as {SPAN}) END"
@@ -54,7 +57,7 @@ def find_spans(text: Column, pattern: str, gate: str | None = None) -> Column:
     return _of(text, _find("t", pattern, gate or pattern))
 
 
-_GAP = r"(?:(?<=[0-9])|(?<=[0-9][A-Z]))[ \t  ]+(?=[0-9]|[A-Z][0-9])"
+_GAP = r"[ \t  ](?:(?<=[0-9][ \t  ])|(?<=[0-9][A-Z][ \t  ]))[ \t  ]*(?=[0-9]|[A-Z][0-9])"
 
 
 def compact_digits(text: Column) -> Column:

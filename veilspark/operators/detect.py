@@ -73,32 +73,43 @@ def _in_compact(given: Column | Text, pattern: str, valid: Callable[[Column], Co
         lo, hi = original_position(s["start"], blanks), original_position(s["end"] - 1, blanks) + 1
         return F.struct(lo.alias("start"), hi.alias("end"), F.substring(text, lo + 1, hi - lo).alias("value"))
 
-    return F.when(compact.rlike(pattern), F.transform(found, back)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.transform(found, back)
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once, however often `f` has it; in a lambda it would be once an element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """`spans` that overlap none of `others`, which must be a value at hand."""
+    return F.filter(spans, lambda s: ~F.exists(others, lambda r: (s["start"] < r["end"]) & (r["start"] < s["end"])))
 
 
 def _bare(value: Column, separators: str) -> Column:
     return F.upper(F.regexp_replace(value, separators, ""))
 
 
+# Patterns begin with a character that is rare, and look back from there: trying a place where none begins costs little.
 _SEP = r"[ .\-]?"
-_NIR = rf"(?<!\d)[1-8](?:{_SEP}\d\d){{2}}{_SEP}(?:2[ABab]|\d\d)(?:{_SEP}\d\d\d){{2}}{_SEP}\d\d(?!\d)"
-_IBAN = r"(?<![\dA-Za-z])[Ff][Rr]\d\d(?:[- ]?[\dA-Za-z]){23}(?![\dA-Za-z])"
-_RPPS = r"(?<!\d)(?:\d ?){10}\d(?!\d)"
-_FINESS = r"(?<!\d)\d{9}(?!\d)"
-_PHONE = rf"(?<!\d)(?:\+33{_SEP}|0)[1-9](?:{_SEP}\d\d){{4}}(?!\d)"
+_NIR = rf"[1-8](?<!\d\d)(?:{_SEP}\d\d){{2}}{_SEP}(?:2[ABab]|\d\d)(?:{_SEP}\d\d\d){{2}}{_SEP}\d\d(?!\d)"
+_IBAN = r"[Ff](?<![\dA-Za-z][Ff])[Rr]\d\d(?:[- ]?[\dA-Za-z]){23}(?![\dA-Za-z])"
+_RPPS = r"\d(?<!\d\d) ?(?:\d ?){9}\d(?!\d)"
+_FINESS = r"\d(?<!\d\d)\d{8}(?!\d)"
+_PHONE = rf"[+0](?<!\d[+0])(?:(?<=0)|(?<=\+)33{_SEP})[1-9](?:{_SEP}\d\d){{4}}(?!\d)"
 _EMAIL = r"[\dA-Za-z][\dA-Za-z%+._-]*@[\dA-Za-z.-]+[.][A-Za-z]{2,}"
 _DATE = r"(?:[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{4}|[0-9]{1,2}[ \t]+(?:janvier|f[ée]vrier|mars|avril|mai|juin|juillet|ao[ûu]t|septembre|octobre|novembre|d[ée]cembre)[ \t]+[0-9]{4})"
-_BORN = r"(?iu)(?:(?:ddn|date[ \t]+de[ \t]+naissance)[ \t]*:?|née?(?:[(]e[)])?[ \t]+le)[ \t]+"
+_BORN = r"(?iu)(?=[dn])(?:(?:ddn|date[ \t]+de[ \t]+naissance)[ \t]*:?|née?(?:[(]e[)])?[ \t]+le)[ \t]+"
 _LETTER = r"A-ZÀ-ÖØ-Þa-zà-öø-ÿ"
 _TOWN_WORD = rf"[{_LETTER}][0-9_{_LETTER}'’-]*"
-_TOWN = rf"(?<!\d)\d{{5}}[ \t]+({_TOWN_WORD})(?:[ -]{_TOWN_WORD}){{0,3}}"
+_TOWN = rf"\d(?<!\d\d)\d{{4}}[ \t]+({_TOWN_WORD})(?:[ -]{_TOWN_WORD}){{0,3}}"
 _STREET = r"(?:all[ée]e|avenue|boulevard|chemin|cours|impasse|lotissement|passage|place|quai|route|rue|square)"
 _ADDRESS = rf"(?iu)[0-9]{{1,4}}[ \t]*,?[ \t]*{_STREET}[ \t]+[0-9{_LETTER}'’\- ]+?(?:,?[ \t]*|[ \t]*\r?\n[ \t]*){_TOWN}"
 _TOWN_ONLY = rf"(?iu){_TOWN}"
 _UNITS = "cl cm dl iu kcal kg km mcg meq mg ml mm mmol mol ng pg ui".split()
 _LINK = "(?:aux|au|des|de|du|d['’]|en|les|le|la|l['’]|sur)"
 _PART = rf"(?:{_LINK}[ \t]+)?[A-ZÀ-Ÿ][0-9A-Za-z_À-ÿ'’\-]*"
-_PLACE = rf"(?<![0-9A-Za-z_])(?:CH|Centre|Clinique|EHPAD|ESAT|FAM|Foyer|H[ôo]pital|IME|ITEP|Lyc[ée]e|MAS|R[ée]sidence|SSIAD)[ \t]+{_PART}(?:[ \t]+{_PART})*"
+_PLACE = rf"(?=[CEFHILMRS])(?<![0-9A-Za-z_])(?:CH|Centre|Clinique|EHPAD|ESAT|FAM|Foyer|H[ôo]pital|IME|ITEP|Lyc[ée]e|MAS|R[ée]sidence|SSIAD)[ \t]+{_PART}(?:[ \t]+{_PART})*"
 
 
 def nir(text: Column | Text) -> Column:
@@ -111,9 +122,8 @@ def iban(text: Column | Text) -> Column:
 
 def rpps(text: Column) -> Column:
     """Eleven digits that pass the check and don't overlap what is shaped like an IBAN."""
-    shaped = find_spans(text, _IBAN)
-    ok = F.filter(find_spans(text, _RPPS), lambda s: luhn_valid(F.replace(s["value"], F.lit(" "), F.lit(""))) & ~F.exists(shaped, lambda r: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-    return _entities(F.when(text.rlike(_RPPS), ok).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")), "rpps", 0.9, "structural")
+    valid = F.filter(find_spans(text, _RPPS), lambda s: luhn_valid(F.replace(s["value"], F.lit(" "), F.lit(""))))
+    return _entities(_with(valid, lambda v: _with(find_spans(F.when(F.size(v) > 0, text), _IBAN), lambda shaped: _apart(v, shaped))), "rpps", 0.9, "structural")
 
 
 def finess(given: Column | Text) -> Column:
@@ -153,10 +163,12 @@ def address(text: Column) -> Column:
         name = F.regexp_extract(s["value"], pattern + "$", 1)
         return name.rlike("^[A-ZÀ-ÖØ-Þ]") & ~F.lower(name).isin(_UNITS)
 
+    def both(full: Column) -> Column:
+        alone = _apart(F.filter(find_spans(text, _TOWN_ONLY), lambda s: town(s, _TOWN_ONLY)), full)
+        return F.array_sort(F.concat(_entities(full, "adresse", 0.7, "pattern"), _entities(alone, "adresse", 0.55, "pattern")), _by_start)
+
     full = F.filter(find_spans(text, _ADDRESS), lambda s: town(s, _ADDRESS))
-    alone = F.filter(find_spans(text, _TOWN_ONLY), lambda s: town(s, _TOWN_ONLY) & ~F.exists(full, lambda r: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-    both = F.concat(_entities(full, "adresse", 0.7, "pattern"), _entities(alone, "adresse", 0.55, "pattern"))
-    return F.when(text.rlike(_TOWN_ONLY), F.array_sort(both, _by_start)).otherwise(F.array().cast(ENTITY))
+    return F.when(text.rlike(_TOWN_ONLY), _with(full, both)).otherwise(F.array().cast(ENTITY))
 
 
 def establishment(text: Column) -> Column:
