@@ -11,7 +11,7 @@ from veilspark.plans import annotated, annotated_queries, catalogue
 from veilspark.session import spread
 
 ROWS = 3000
-DEALT = "annotated_masked annotated_realistic_scores".split()
+DEALT = "annotated_masked annotated_realistic_scores annotated_realistic_spans".split()
 
 
 @pytest.fixture(scope="module")
