@@ -11,7 +11,7 @@ from veilspark.plans import annotated, annotated_queries, catalogue
 from veilspark.session import spread
 
 ROWS = 3000
-DEALT = "annotated_masked annotated_realistic_scores annotated_realistic_spans marked_texts annotated_structural_scores redact_reply_restore".split()
+DEALT = "annotated_masked annotated_realistic_scores annotated_realistic_spans marked_texts annotated_structural_scores redact_reply_restore qi_extract_lieu".split()
 
 
 @pytest.fixture(scope="module")
