@@ -11,7 +11,7 @@ from veilspark.plans import annotated, annotated_queries, catalogue
 from veilspark.session import spread
 
 ROWS = 3000
-DEALT = "annotated_masked annotated_realistic_scores annotated_realistic_spans marked_texts annotated_structural_scores redact_reply_restore qi_extract_lieu siren_collisions score_corpus annotated_structural_spans annotated_adversarial_scores first_missed_names stream_redact annotated_adversarial_spans predictions_as_json_lines ingest_odt".split()
+DEALT = "annotated_masked annotated_realistic_scores annotated_realistic_spans marked_texts annotated_structural_scores redact_reply_restore qi_extract_lieu siren_collisions score_corpus annotated_structural_spans annotated_adversarial_scores first_missed_names stream_redact annotated_adversarial_spans predictions_as_json_lines ingest_odt entity_counts".split()
 
 
 @pytest.fixture(scope="module")
